@@ -1,0 +1,62 @@
+"""Help for editors: completions, diagnostics and hover texts for pipes in text form. Pure functions."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pipeloom.functions.where import OPS
+from pipeloom.operators.registry import QueryError
+from pipeloom.plans.catalog import CATALOG
+from pipeloom.plans.parse import stage_errors
+from pipeloom.plans.text import FORMS, parse_lenient, split
+
+
+def completions(text: str, at: int, datasets: dict[str, list[str]]) -> list[str]:
+    """What may follow at a place: datasets after source, stages after |, else columns, conditions or directions."""
+    before = text[:at]
+    try:
+        parts = split(before, "|")
+    except QueryError:
+        return []
+    last = parts[-1]
+    word = "" if last.endswith((" ", ",")) or not last.strip() else last.split()[-1].split(",")[-1]
+    pick = lambda options: [o for o in options if o.startswith(word)]
+    if len(parts) == 1:
+        return pick(sorted(datasets)) if last.strip().startswith("source") and last.strip() != "source" or last.startswith("source ") else pick(["source"])
+    words = last.split()
+    if not words or len(words) == 1 and not last.endswith(" "):
+        return pick(sorted(FORMS))
+    columns = pick(datasets.get((parts[0].split() + ["", ""])[1], []))
+    if words[0] in ("where", "filter") and len(words) - (not last.endswith(" ")) == 2:
+        return pick(OPS)
+    if words[0] == "sort" and len(words) - (not last.endswith(" ")) >= 2 and not last.rstrip().endswith(","):
+        return pick(["asc", "desc"])
+    if words[0] == "aggregate" and (last.endswith((", ", "aggregate "))):
+        from pipeloom.functions.aggregates import FUNCTIONS
+
+        return pick([f.lower() for f in FUNCTIONS])
+    return columns
+
+
+def diagnostics(text: str) -> list[dict[str, Any]]:
+    """Problems with the stage's number and place in the text."""
+    doc, problems = parse_lenient(text)
+    starts, at = [], 0
+    try:
+        for part in split(text, "|"):
+            starts.append((at, at + len(part)))
+            at += len(part) + 1
+    except QueryError:
+        starts = [(0, len(text))]
+    out = [{"start": (starts[p["stage"] + 1] if p["stage"] + 1 < len(starts) else (0, len(text)))[0], "end": (starts[p["stage"] + 1] if p["stage"] + 1 < len(starts) else (0, len(text)))[1], "message": p["message"], "severity": "error"} for p in problems]
+    bad = {p["stage"] for p in problems}
+    for e in stage_errors(doc["pipe"]):
+        i = int(e[5 : e.index("]")])
+        if i not in bad:
+            out.append({"start": starts[i + 1][0], "end": starts[i + 1][1], "message": e, "severity": "error"})
+    return out
+
+
+def hover(word: str) -> str | None:
+    op = CATALOG.get(FORMS[word][0] if word in FORMS else word)
+    return None if op is None else f"**{op.name}** {op.about}\n\n" + "\n".join(f"- `{f.name}` {f.kind}{' (required)' if f.required else ''}" for f in op.fields)
