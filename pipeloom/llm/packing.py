@@ -10,9 +10,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,18 @@ from pyspark.sql import types as T
 from pipeloom.llm.common import id_field, salts, small_batches, texts, written
 
 #: Entries in a Python worker's table of encoded words; it starts anew beyond this.
-CACHE = 300_000
+CACHE = 500_000
+#: A whole run of marks at a word's end: the vocabulary encodes it apart from what stands before.
+MARKS = re.compile(r"(?<=[^\W\d_])([.,!?;:%*&$#|]+)(?=[ \n]|\Z)")
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 16-bit values, from encodings of its words. Spaces and line ends separate words for this
-    vocabulary whatever stands beside them, and a run of letters is encoded apart from the marks after it."""
+    """Ids of a text as little-endian 16-bit values, from encodings of its words.
+
+    Spaces and line ends separate words for this vocabulary whatever stands beside them, a run of letters is encoded apart from
+    the marks after it, and case is dropped. So each run of letters is encoded once, many in one call: the last id of each ends
+    a word, which tells where the next begins.
+    """
 
     def __init__(self, path: str):
         import os
@@ -37,38 +45,51 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("16 bits hold no id of this vocabulary")
+        vocab = self.tokenizer.get_vocab()
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("16 bits don't hold all ids of this vocabulary")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known = {"": b""}
-        plain, ends = set(), []
-        for w in words:
-            if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha():
-                ends.append(w)
-                if w[:-1] not in self.known:
-                    plain.add(w[:-1])
-                plain.add(w[-1])
+    def _encode(self, items: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known = {"": b"", **dict(islice(self.known.items(), CACHE // 8))}  # the first to come are the most frequent
+            new = words.difference(self.known)
+        letters = [w for w in new if w.isalpha()]
+        for i in range(0, len(letters), 1000):
+            some = letters[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            last = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+            if len(last) == len(some):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(some, last, strict=True):
+                    self.known[w] = raw[at:end]
+                    at = end
             else:
-                plain.add(w)
-        plain = list(plain)
-        for w, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u2").tobytes()
-        for w in ends:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+                self.known.update(zip(some, self._encode(some), strict=True))
+        odd = [w for w in new if not w.isalpha()]
+        self.known.update(zip(odd, self._encode(odd), strict=True))
 
     def ids(self, rows: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in rows]
-        out = []
-        for words in split:
-            new = set(words).difference(self.known)
-            if new:
-                self._learn(list(new))
-                if not self.known.keys() >= set(words):  # the table began anew
-                    self._learn([w for w in set(words) if w not in self.known])
-            out.append(b"".join(map(self.known.__getitem__, words)))
+        split = []
+        for t in rows:
+            low = t if "\u03a3" in t else t.lower()  # a final sigma has its own lower case
+            split.append(MARKS.sub(r" \1", low).replace("\n", " ").split(" "))
+        out, at = [], 0
+        while at < len(split):
+            # as many texts as have some 50,000 words, so that the table holds all words of those it serves
+            stop, n = at, 0
+            while stop < len(split) and (stop == at or n + len(split[stop]) <= 50_000):
+                n += len(split[stop])
+                stop += 1
+            self._learn(set().union(*split[at:stop]))
+            out += [b"".join(map(self.known.__getitem__, words)) for words in split[at:stop]]
+            at = stop
         return out
 
 
