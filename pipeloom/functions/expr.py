@@ -199,7 +199,7 @@ def formula(text: str) -> Column:
         if f in WHOLE:
             if len(args) == 1:
                 return f"{f}({args[0]}) OVER ()"
-            return {"sum": " + ".join(args), "avg": f"({' + '.join(args)}) / {len(args)}", "min": f"least({', '.join(args)})", "max": f"greatest({', '.join(args)})", "count": " + ".join(f"int({a} is not null)" for a in args)}[f]
+            return {"sum": f"({' + '.join(args)})", "avg": f"({' + '.join(args)}) / {len(args)}", "min": f"least({', '.join(args)})", "max": f"greatest({', '.join(args)})", "count": "(" + " + ".join(f"int({a} is not null)" for a in args) + ")"}[f]
         return f"{f}({', '.join(args)})"
 
     out = compare()
