@@ -18,8 +18,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 MIN_ASSIGN = 12
 
-#: A candidate is a whole run of these characters, of 20 or more, with a digit and a letter.
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]+"
+#: A candidate is a whole run of these characters, of 20 or more, with a digit and a letter; = may pad its end.
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]+={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Forms that look random and are no secrets: UUIDs, dates and versions joined by signs, marked samples.
 ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|placeholder|dummy|changeme|x{6,}|^[0-9]{4}-[0-9]{2}-[0-9]{2}|^(/?[a-z_-]+){2,}/?[0-9]{0,6}$"
@@ -53,8 +53,8 @@ def _xlog(c: Column) -> Column:
 def _window(candidate: Column, width: int, bits: float) -> Column:
     """struct<lo, hi>: start of the first and end of the last window of `candidate` with at least `bits` of entropy a character;
     nulls if there is none. State: counts by character of the alphabet, and the sum of c log2 c."""
-    chars = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c).cast("int"))
     n = F.length(candidate)
+    chars = F.transform(F.slice(F.split(candidate, ""), 1, n), lambda c: F.instr(F.lit(ALPHABET), c).cast("int"))
     # c log2 c sums to at most this where the entropy, log2(width) - sum / width, is at least `bits`
     most = F.lit(width) * (F.log2(F.lit(float(width))) - F.lit(bits)) + F.lit(1e-9)
     start = F.struct(
@@ -73,9 +73,10 @@ def _window(candidate: Column, width: int, bits: float) -> Column:
         hit = (x["i"] + 1 >= width) & (s2 <= most)
         return F.struct(moved.alias("counts"), s2.alias("s"), F.coalesce(acc["lo"], F.when(hit, (x["i"] + 1 - width).cast("int"))).alias("lo"), F.when(hit, (x["i"] + 1).cast("int")).otherwise(acc["hi"]).alias("hi"))
 
-    moves = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-        i.alias("i"), F.element_at(chars, i + 1).alias("into"),
-        F.when(i >= width, F.element_at(chars, F.greatest(i - width + 1, F.lit(1)))).otherwise(F.lit(0)).alias("out")))
+    # what enters and what leaves at each move; nothing leaves the first windows
+    leaves = F.concat(F.array_repeat(F.lit(0), width), F.slice(chars, 1, F.greatest(n - width, F.lit(0))))
+    pairs = F.arrays_zip(chars.alias("into"), leaves.alias("out"))
+    moves = F.transform(F.slice(pairs, 1, n), lambda x, i: F.struct(i.alias("i"), x["into"].alias("into"), x["out"].alias("out")))
     return F.aggregate(moves, start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
 
