@@ -119,11 +119,11 @@ class Model:
         self.bias, self.slope = b, max(w, 1e-3)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = 16_000, prior: float = 50.0, min_docs: int = 4, least: float = 1.5, gap: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = 16_000, prior: float = 50.0, min_docs: int = 3, least: float = 3.0, sure: float = 2.0, gap: float = 1.0) -> Model:
     """A model from at most `sample` labelled documents, chosen by hash. Near copies of one text count once.
 
     A feature counts if at least `min_docs` toxic texts have it and its log-odds ratio, with a Dirichlet prior of `prior`
-    documents spread as in both classes together, exceeds `least` and 3 standard deviations.
+    documents spread as in both classes together, exceeds `least` and `sure` standard deviations.
     """
     small_batches(docs.sparkSession)
     picked = labelled_sample(docs, labels, "toxic", sample, id_col)
@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: in
     n1, n0 = n_docs.get(1, 0), n_docs.get(0, 0)
     model = Model({}, gap)
     if n1 and n0:
-        feats = F.array_distinct(F.concat("words", *(F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("-"))) for n in STEMS)))
+        stems = lambda n: F.transform(F.filter("words", lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
+        feats = F.array_distinct(F.concat("words", *map(stems, STEMS)))
         counts = (
             one.select("y", F.explode(feats).alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
             .where(F.col("c1") >= min_docs).where(F.col("c1") * n0 > F.col("c0") * n1)
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: in
             o1 = math.log((c1 + a) / (n1 + prior - c1 - a))
             o0 = math.log((c0 + a) / (n0 + prior - c0 - a))
             z = (o1 - o0) / math.sqrt(1 / (c1 + a) + 1 / (c0 + a))
-            if o1 - o0 > least and z > 3:
+            if o1 - o0 > least and z > sure:
                 model.odds[r["f"]] = o1 - o0
 
     found_schema = "y int, n int, s array<double>"
