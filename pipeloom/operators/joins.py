@@ -12,6 +12,7 @@ from pipeloom.functions.where import condition
 from pipeloom.operators.registry import QueryError, known, register
 from pipeloom.operators.times import micros
 from pipeloom.plans.frame import HIDDEN, Frame
+from pipeloom.plans.ranges import carried
 
 _cache: dict[tuple, tuple[float, DataFrame]] = {}
 
@@ -94,14 +95,17 @@ def asof_join(f: Frame, cfg: dict, ctx) -> Frame:
     left = f.df.select(l_key.alias(key), micros(f, cfg["leftTime"]).alias(t), left_row.alias(row))
     both = left.withColumn(rec, F.lit(None).cast(r.schema[rec].dataType)).withColumn(side, F.lit(1)).unionByName(
         r.withColumn(row, F.lit(None).cast(left.schema[row].dataType)).withColumn(side, F.lit(0)))
-    before = F.last(rec, ignorenulls=True).over(Window.partitionBy(key).orderBy(t, side).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.last(rec, ignorenulls=True).over(Window.partitionBy(key).orderBy(F.col(t).desc(), side).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if direction == "nearest":
-        both = both.withColumn("_b", before).withColumn("_a", after)
-        closer = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (F.col(t) - F.col(f"_b.{t}") <= F.col(f"_a.{t}") - F.col(t)), F.col("_b")).otherwise(F.col("_a"))
-        both = both.withColumn("_m", closer)
-    else:
-        both = both.withColumn("_m", before if direction == "backward" else after)
+    both = both.withColumn("_b", F.col(rec)).withColumn("_a", F.col(rec)).drop(rec)
+    # side 1, the left, comes after right rows of its time in either direction
+    for c, up in (("_b", True), ("_a", False)):
+        if direction != ("forward" if up else "backward"):
+            if cfg.get("leftKey") or f.df.isStreaming:
+                w = Window.partitionBy(key).orderBy(F.col(t).asc() if up else F.col(t).desc(), side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                both = both.withColumn(c, F.last(c, ignorenulls=True).over(w))
+            else:  # without a key, all rows are one group
+                both = carried(both, [(F.col(t), up), (F.col(side), True)], [c])
+    closer = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (F.col(t) - F.col(f"_b.{t}") <= F.col(f"_a.{t}") - F.col(t)), F.col("_b")).otherwise(F.col("_a"))
+    both = both.withColumn("_m", {"backward": F.col("_b"), "forward": F.col("_a"), "nearest": closer}[direction])
     near = F.col(t).isNotNull() if tol is None else F.abs(F.col(t) - F.col(f"_m.{t}")) <= tol
     out = both.filter(F.col(side) == 1).select(f"{row}.*", F.when(near & F.col(t).isNotNull(), F.col("_m")).alias(f"{HIDDEN}match"))
     done = merged(f.with_df(out), F.col(f"{HIDDEN}match"), names)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from pipeloom.functions.where import literal
 from pipeloom.operators.quality import first_of
 from pipeloom.operators.registry import QueryError, cols, known, register, sort_spec
 from pipeloom.plans.frame import HIDDEN, Frame, _next
+from pipeloom.plans.ranges import moved, numbered, ranked
 
 
 @register("sort")
@@ -40,20 +41,6 @@ def skip(f: Frame, cfg: dict, ctx) -> Frame:
     return f.with_df(f.sorted().offset(whole(cfg["n"], "skip: n")))
 
 
-def numbered(f: Frame) -> tuple[DataFrame, str]:
-    """The rows' places in order, from 0, in a hidden column. Rows are range-partitioned by the order keys and numbered within
-    partitions; the partitions' sizes, one row each, give the offsets. So no task sees all rows."""
-    p, r, i, n = (f"{HIDDEN}{x}{next(_next)}" for x in ("p", "r", "i", "n"))
-    keys = f.sort_keys()
-    dealt = (f.df.repartitionByRange(*keys) if keys else f.df).withColumn(p, F.spark_partition_id())
-    w = Window.partitionBy(p).orderBy(*(keys or [F.lit(0)]))
-    dealt = dealt.withColumn(r, F.row_number().over(w))
-    sizes = dealt.groupBy(p).agg(F.max(r).alias(n))
-    before = sizes.select(p, F.coalesce(F.sum(n).over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(i))
-    out = dealt.join(before, p).withColumn(i, F.col(i) + F.col(r) - 1).drop(p, r)
-    return out, i
-
-
 @register("distinct")
 def distinct(f: Frame, cfg: dict, ctx) -> Frame:
     if cfg.get("by"):
@@ -89,6 +76,8 @@ def window(f: Frame, cfg: dict, ctx) -> Frame:
         raise QueryError(f"window: {fn} needs orderBy")
     if fn not in RANKS and not cfg.get("field"):
         raise QueryError(f"window: {fn} needs field")
+    if not partition and not f.df.isStreaming:
+        return over_all(f, cfg, fn, by)
     w = f.window(partition, by)
     if fn == "row_number":
         out = F.row_number().over(w).cast("bigint")
@@ -108,3 +97,34 @@ def window(f: Frame, cfg: dict, ctx) -> Frame:
             w = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             out = (F.first if fn == "first_value" else F.last)(c).over(w)
     return f.set_column(cfg["as"], out)
+
+
+def over_all(f: Frame, cfg: dict, fn: str, by: list[tuple[Column, bool]]) -> Frame:
+    """A window without partitions."""
+    name = cfg["as"]
+    f = f.keeping_order([name])
+    g, keys = f, []
+    for c, up in by:  # the window's own order before the pipe's
+        k = f"{HIDDEN}{next(_next)}"
+        g = Frame(g.df.withColumn(k, c), g.order)
+        keys.append((k, up))
+    g = Frame(g.df, (*keys, *f.order))
+    drop = [k for k, _ in keys]
+    if fn == "row_number":
+        df, i = numbered(g)
+        return f.with_df(df.withColumn(name, F.col(i) + 1).drop(i, *drop))
+    if fn in RANKS:
+        return f.with_df(ranked(g, [(F.col(k), up) for k, up in keys], fn == "dense_rank", name).drop(*drop))
+    c, kind = known(f, cfg["field"]), f.df.schema[cfg["field"]].dataType
+    if fn in ("lag", "lead"):
+        k = cfg.get("offset") or 1
+        df, v, there = moved(g, cfg["field"], (-1 if fn == "lag" else 1) * (k if k > 0 else 1))
+        value = F.col(v)
+        if cfg.get("default") is not None:
+            value = F.when(F.col(there).isNull(), literal(cfg["default"], kind).cast(kind)).otherwise(value)
+        return f.with_df(df.withColumn(name, value).drop(v, there, *drop))
+    edge = g if fn == "first_value" else Frame(g.df, tuple((n, not up) for n, up in g.order))
+    v = f"{HIDDEN}{next(_next)}"
+    order = edge.sort_keys() if fn == "first_value" else [x.asc_nulls_last() if up else x.desc_nulls_first() for x, up in edge.order_columns()]
+    one = edge.df.orderBy(*order).limit(1).select(c.alias(v))
+    return f.with_df(f.df.crossJoin(F.broadcast(one)).withColumn(name, F.col(v)).drop(v))

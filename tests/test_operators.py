@@ -232,3 +232,45 @@ def test_nested_conditions(spark):
     assert [r["id"] for r in run(spark, rows, s("filter", where={"field": "id", "op": "between", "value": ["2", 3]}))] == [2, 3]
     with pytest.raises(QueryError, match="between"):
         run(spark, rows, s("filter", where={"field": "id", "op": "between", "value": [2]}))
+
+
+def test_windows_over_all_rows_in_many_parts(spark):
+    """Parts are cut within groups of equal keys, and values cross them."""
+    rows = [{"i": i, "k": i * 37 % 101 % 17, "v": None if i % 3 else i} for i in range(300)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "i long, k long, v long").repartition(7)
+    ctx = Context(spark, Datasets().frame("t", df, key=("i",)))
+    by = [{"field": "k", "dir": "desc"}]
+    stages = [
+        s("window", fn="row_number", orderBy=by, as_="n"), s("window", fn="rank", orderBy=by, as_="r"), s("window", fn="dense_rank", orderBy=by, as_="d"),
+        s("window", fn="lag", field="i", orderBy=by, offset=2, default=-1, as_="p"), s("window", fn="lead", field="v", orderBy=by, as_="q"),
+        s("window", fn="first_value", field="i", orderBy=by, as_="a"), s("window", fn="last_value", field="i", orderBy=by, as_="z"),
+        s("compute", as_="w", expr="v"), s("fillNulls", columns=["w"], method="lastValue", orderBy=by), s("compute", as_="x", expr="v"), s("fillNulls", columns=["x"], method="nextValue", orderBy=by),
+    ]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["i"]: r for r in Engine(ctx).execute({"from": "t", "pipe": stages}).rows}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(rows, key=lambda r: (-r["k"], r["i"]))
+    kinds = sorted({-r["k"] for r in rows})
+    last = None
+    for n, r in enumerate(order):
+        g = got[r["i"]]
+        last = r["v"] if r["v"] is not None else last
+        after = next((x["v"] for x in order[n:] if x["v"] is not None), None)
+        want = (n + 1, 1 + sum(x["k"] > r["k"] for x in rows), kinds.index(-r["k"]) + 1, order[n - 2]["i"] if n > 1 else -1, order[n + 1]["v"] if n < 299 else None, order[0]["i"], order[-1]["i"], last, after)
+        assert tuple(g[c] for c in "nrdpqazwx") == want
+
+
+def test_asof_without_a_key(spark):
+    left = spark.createDataFrame([(i, T(i % 24, i % 60)) for i in range(100)], "i long, t timestamp_ntz").repartition(5)
+    right = spark.createDataFrame([(j, T(j % 24, j * 7 % 60, 30)) for j in range(40)], "j long, u timestamp_ntz").repartition(3)
+    ctx = Context(spark, Datasets().frame("l", left, key=("i",)).frame("r", right, key=("j",)))
+    rs = sorted((r["u"], r["j"]) for r in right.collect())
+    for direction in ("backward", "forward", "nearest"):
+        doc = {"from": "l", "pipe": [s("asofJoin", dataset="r", leftTime="t", rightTime="u", direction=direction)]}
+        for r in Engine(ctx).execute(doc).rows:
+            b = max((x for x in rs if x[0] <= r["t"]), default=None)
+            a = min((x for x in rs if x[0] >= r["t"]), default=None, key=lambda x: (x[0], -x[1]))
+            near = b if a is None or b and r["t"] - b[0] <= a[0] - r["t"] else a
+            assert r["j"] == ((x := {"backward": b, "forward": a, "nearest": near}[direction]) and x[1]), direction
