@@ -28,11 +28,11 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
 
-def family(words: set[str]) -> int:
-    """The same for most near copies of a text: they would count as one document."""
+def family(words: list[str]) -> int:
+    """The same for most near copies of a text, which would count as many documents: the least hash of three words in a row."""
     import xxhash
 
-    return min((xxhash.xxh3_64_intdigest(w) for w in words if len(w) > 5), default=0) >> 1
+    return min(map(xxhash.xxh3_64_intdigest, map(" ".join, zip(words, words[1:], words[2:], strict=False))), default=xxhash.xxh3_64_intdigest(" ".join(words))) >> 1
 
 
 def segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
@@ -119,7 +119,7 @@ class Model:
         self.bias, self.slope = b, max(w, 1e-3)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = 16_000, prior: float = 50.0, min_docs: int = 3, least: float = 3.0, sure: float = 2.0, gap: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = 16_000, prior: float = 50.0, min_docs: int = 3, least: float = 3.0, sure: float = 2.6, gap: float = 1.0) -> Model:
     """A model from at most `sample` labelled documents, chosen by hash. Near copies of one text count once.
 
     A feature counts if at least `min_docs` toxic texts have it and its log-odds ratio, with a Dirichlet prior of `prior`
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: in
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ws = [WORD.findall(t.lower()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([family(set(w)) for w in ws], pa.int64()), b.column("y"), pa.array([len(w) for w in ws], pa.int32()), pa.array([sorted(set(w)) for w in ws], pa.list_(pa.string()))], names=["key", "y", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([family(w) for w in ws], pa.int64()), b.column("y"), pa.array([len(w) for w in ws], pa.int32()), pa.array([sorted(set(w)) for w in ws], pa.list_(pa.string()))], names=["key", "y", "n", "words"])
 
     rows = written(picked.select("text", "y").mapInArrow(bags, schema), "bags")
     one = rows.groupBy("key", "y").agg(F.min_by("words", F.xxhash64("words")).alias("words"))
