@@ -93,7 +93,7 @@ class Matcher:
             return {}
         t = f" {normal(text)} "
         out: dict[int, tuple[int, int, int]] = {}
-        tried: dict[int, list[int]] = {}
+        tried: dict[int, set[int]] = {}
         for end, (size, where) in self.auto.iter(t):
             for at, start in where:
                 ident, item, k, item_masks = self.items[at]
@@ -106,10 +106,10 @@ class Matcher:
                     continue
                 if k == 0:
                     continue
-                done = tried.setdefault(at, [])
+                done = tried.setdefault(at, set())
                 if lo in done:
                     continue
-                done.append(lo)
+                done.add(lo)
                 a, b = max(0, lo - k), min(len(t), lo + len(item) + k)
                 hit = best_match(item_masks, len(item), t[a:b], k)
                 if hit and (found is None or hit[0] < found[0]):
@@ -117,7 +117,7 @@ class Matcher:
         return {self.items[at][0]: v for at, v in out.items()}
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.06, block: int = 20_000) -> DataFrame:
+def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.08, block: int = 20_000) -> DataFrame:
     """One row per document and item that it holds: identifier, item_id, edits, start and end (in the normal form).
 
     An item matches if some stretch of the document is within `rate` of the item's characters in edits. Items go to executors
@@ -151,7 +151,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     return reduce(DataFrame.unionByName, [one(b) for b in range(n_blocks)])
 
 
-def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = 0.06, block: int = 20_000) -> DataFrame:
+def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = 0.08, block: int = 20_000) -> DataFrame:
     """df's rows whose text holds no item, with all their columns, in one pass a block. Null texts stay."""
     spark = df.sparkSession
     small_batches(spark)
