@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_made: list[tuple[SparkSession, str]] = []
+from pipeloom.sources.scratch import shared_dir, written
+
+__all__ = ["id_field", "labelled_sample", "salts", "shared_dir", "small_batches", "table", "texts", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,48 +33,6 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. A local session without one gets a temporary folder."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if place:
-        return place.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    place = "file://" + tempfile.mkdtemp(prefix="pipeloom-")
-    spark.conf.set("spark.checkpoint.dir", place)
-    return place
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and no executor's loss takes it away. Removed as the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if not _made:
-        atexit.register(_clear)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df_paths: int) -> None:
-    """Removes the oldest written tables beyond the given number."""
-    while len(_made) > df_paths:
-        _remove(*_made.pop(0))
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended first
-        pass
-
-
-def _clear() -> None:
-    dropped(0)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, id_col: str = "doc_id") -> DataFrame:
     """At most `limit` labelled rows, those with the smallest hashes, with the identifier, the text and an integer label `y`.
 
