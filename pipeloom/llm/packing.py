@@ -115,7 +115,8 @@ def non_negative_least_squares(a: np.ndarray, b: np.ndarray, steps: int = 2000)
         on[j] = True
         while on.any():
             at = np.flatnonzero(on)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            part = a[:, at]
+            s = np.linalg.solve(part.T @ part + 1e-9 * np.eye(len(at)), part.T @ b)
             if s.min() > 1e-9:
                 x[:] = 0
                 x[at] = s
@@ -171,7 +172,7 @@ def plan(counts: dict[int, int], full: int, depth: int = 3) -> list[tuple[tuple[
     return out
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, unit: int = 8, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", per: int = 20_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, unit: int = 8, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", per: int = 5_000) -> DataFrame:
     """One row per piece: identifier, start (ids of its document before it), length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A document is its ids and then end_id, so that a null or empty text is one id. Every id lies in one piece. In a sequence,
