@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,22 +24,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def tokens(host: str, path: str, query: str) -> list[str]:
-    """Distinct parts of a URL: host suffixes, path segments with digits masked, file endings and query keys."""
-    parts = host.split(".")
-    out = {"host=" + ".".join(parts[i:]) for i in range(len(parts))} if host else set()
-    out |= {f"sub={parts[0]}"} if len(parts) > 2 else set()
-    for seg in path.split("/"):
-        if seg:
-            out.add("path=" + re.sub(r"[0-9]+", "0", seg)[:64])
-            if "." in seg:
-                out.add("end=" + seg.rsplit(".", 1)[1][:16])
-    out |= {"key=" + kv.split("=")[0][:32] for kv in query.split("&") if kv}
-    return sorted(out)
-
-
 def tokenised(df: DataFrame, id_col: str, url_col: str, extra: list[str] = ()) -> DataFrame:
-    """Adds host, path and the array `tokens`."""
+    """Adds host, path and the array `tokens`: host suffixes, path segments with digits masked, file endings and query keys."""
     url = F.col(url_col).cast("string")
     host, path = host_and_path(url)
     query = F.coalesce(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit(""))
