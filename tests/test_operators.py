@@ -1,7 +1,6 @@
 """Each operator on a few literal rows."""
 
 import datetime as dt
-from decimal import Decimal  # noqa: F401
 
 import pytest
 
