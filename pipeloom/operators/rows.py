@@ -38,7 +38,18 @@ def limit(f: Frame, cfg: dict, ctx) -> Frame:
 
 @register("skip")
 def skip(f: Frame, cfg: dict, ctx) -> Frame:
-    return f.with_df(f.sorted().offset(whole(cfg["n"], "skip: n")))
+    return offset(f, whole(cfg["n"], "skip: n"), ctx.following == "limit")
+
+
+def offset(f: Frame, n: int, limited: bool) -> Frame:
+    """Without the first n rows. With a limit behind it, each task keeps only the rows that may come first; alone, Spark's offset
+    would bring all rows to one task, so that the rows are numbered in ranges instead."""
+    if limited or f.df.isStreaming:
+        return f.with_df(f.sorted().offset(n))
+    if n == 0:
+        return f
+    df, i = numbered(f)
+    return f.with_df(df.filter(F.col(i) >= n).drop(i))
 
 
 @register("distinct")

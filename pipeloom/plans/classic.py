@@ -10,7 +10,7 @@ from pipeloom.functions.aggregates import aggregate
 from pipeloom.functions.expr import column
 from pipeloom.functions.where import condition, field
 from pipeloom.operators.registry import QueryError, sort_spec
-from pipeloom.operators.rows import sort
+from pipeloom.operators.rows import offset, sort
 from pipeloom.operators.shape import project
 from pipeloom.plans.context import mentions_version
 from pipeloom.plans.frame import Frame
@@ -47,9 +47,9 @@ def run(q: dict[str, Any], ctx, start: Frame | None = None, page: bool = True) -
         sort_spec(f, q["orderBy"])
         f = sort(f, {"by": q["orderBy"]}, ctx)
     if page and (q.get("offset") or q.get("limit") is not None):
-        df = f.sorted()
-        df = df.offset(q["offset"]) if q.get("offset") else df
-        f = f.with_df(df.limit(q["limit"]) if q.get("limit") is not None else df)
+        limited = q.get("limit") is not None
+        f = offset(f, q["offset"], limited) if q.get("offset") else f.with_df(f.sorted())
+        f = f.with_df(f.df.limit(q["limit"])) if limited else f
     select = [s for s in q.get("select") or [] if s != "*"]
     if q.get("select") and not (aggs or keys) or select and any(isinstance(s, dict) for s in select):
         f = project(f, {"select": [s if isinstance(s, dict) else {"field": s if s in f.columns else s.rsplit(".", 1)[-1], "as": None} for s in q["select"]]}, ctx) if "*" not in q["select"] or select else f

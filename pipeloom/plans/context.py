@@ -63,6 +63,8 @@ class Context:
     reduces: dict[str, str] = field(default_factory=dict)
     max_stages: int = 32
     group_keys: list[str] | None = None
+    #: The operator that consumes the present stage, if only the next stage does.
+    following: str | None = None
     taps: dict[str, Any] = field(default_factory=dict)
 
     def function(self, name: str) -> Callable_:

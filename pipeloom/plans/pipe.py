@@ -29,6 +29,8 @@ def run_stages(frame: Frame, stages: list[dict[str, Any]], ctx, seen=None) -> Fr
             if stage["from"] not in named:
                 raise QueryError(f"pipe[{i}]: no earlier stage is named {stage['from']!r}")
             frame, ctx.group_keys = named[stage["from"]], None
+        after = stages[i + 1] if i + 1 < len(stages) else {}
+        ctx.following = None if after.get("from") or stage.get("id") else after.get("op")
         try:
             frame = OPERATORS[op](frame, config(stage), ctx)
         except KeyError as e:
