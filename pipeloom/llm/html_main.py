@@ -84,6 +84,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
     links = 0  # open links
+    opened: dict[str, int] = {}  # how many of each stand open
     at, n, end_of_run = 0, len(page), 0
     lower: str | None = None
 
@@ -112,11 +113,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def close(tag: str, scope: tuple[str, ...] = ()) -> None:
         nonlocal links
+        if not opened.get(tag):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
                 if any(t not in INLINE for t, _ in stack[k:]):
                     flush()
-                links -= sum(t == "a" for t, _ in stack[k:])
+                for t, _ in stack[k:]:
+                    links -= t == "a"
+                    opened[t] -= 1
                 del stack[k:]
                 return
             if stack[k][0] in scope or tag in INLINE and stack[k][0] not in INLINE:
@@ -132,7 +137,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[1]:
             if tag == "br":
                 run.append("\n")
-            elif tag == "p" and all(t != "p" for t, _ in stack):
+            elif tag == "p" and not opened.get("p"):
                 flush()
             else:
                 close(tag, ("table",) if tag not in ("table", "body", "html") and tag not in INLINE else ())
@@ -150,6 +155,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in INLINE:
             if tag not in VOID:
                 stack.append((tag, stack[-1][1]))
+                opened[tag] = opened.get(tag, 0) + 1
                 links += tag == "a"
         elif tag not in VOID:
             flush()
@@ -159,6 +165,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[-1].gold = int(re.search(r'data-gold="(\d)"', m[3])[1])
             if tag not in RAW:
                 stack.append((tag, len(nodes) - 1))
+                opened[tag] = opened.get(tag, 0) + 1
         elif tag == "hr":
             flush()
         if tag in RAW:
