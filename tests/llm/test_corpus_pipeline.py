@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from test_operators_data import corpus  # noqa: E402
+from planted_corpus import corpus  # noqa: E402
 
 
 def test_stages(spark, tmp_path):
