@@ -12,7 +12,7 @@ from pipeloom.functions.where import condition
 from pipeloom.operators.registry import QueryError, known, register
 from pipeloom.operators.times import micros
 from pipeloom.plans.frame import HIDDEN, Frame
-from pipeloom.plans.ranges import carried
+from pipeloom.plans.ranges import carried, has_hot_key
 
 _cache: dict[tuple, tuple[float, DataFrame]] = {}
 
@@ -97,13 +97,16 @@ def asof_join(f: Frame, cfg: dict, ctx) -> Frame:
         r.withColumn(row, F.lit(None).cast(left.schema[row].dataType)).withColumn(side, F.lit(0)))
     both = both.withColumn("_b", F.col(rec)).withColumn("_a", F.col(rec)).drop(rec)
     # side 1, the left, comes after right rows of its time in either direction
+    keyed = bool(cfg.get("leftKey"))
+    native = f.df.isStreaming or keyed and not has_hot_key(both, [key], ctx.hot_rows)
     for c, up in (("_b", True), ("_a", False)):
-        if direction != ("forward" if up else "backward"):
-            if cfg.get("leftKey") or f.df.isStreaming:
-                w = Window.partitionBy(key).orderBy(F.col(t).asc() if up else F.col(t).desc(), side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                both = both.withColumn(c, F.last(c, ignorenulls=True).over(w))
-            else:  # without a key, all rows are one group
-                both = carried(both, [(F.col(t), up), (F.col(side), True)], [c])
+        if direction == ("forward" if up else "backward"):
+            continue
+        if native:
+            w = Window.partitionBy(key).orderBy(F.col(t).asc() if up else F.col(t).desc(), side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            both = both.withColumn(c, F.last(c, ignorenulls=True).over(w))
+        else:
+            both = carried(both, [(F.col(t), up), (F.col(side), True)], [c], [key] if keyed else [])
     closer = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull() | (F.col(t) - F.col(f"_b.{t}") <= F.col(f"_a.{t}") - F.col(t)), F.col("_b")).otherwise(F.col("_a"))
     both = both.withColumn("_m", {"backward": F.col("_b"), "forward": F.col("_a"), "nearest": closer}[direction])
     near = F.col(t).isNotNull() if tol is None else F.abs(F.col(t) - F.col(f"_m.{t}")) <= tol

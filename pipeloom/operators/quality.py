@@ -12,7 +12,7 @@ from pipeloom.functions.expr import truthy_expr
 from pipeloom.functions.where import literal
 from pipeloom.operators.registry import QueryError, cols, known, register, sort_spec
 from pipeloom.plans.frame import HIDDEN, Frame
-from pipeloom.plans.ranges import carried, numbered
+from pipeloom.plans.ranges import carried, has_hot_key, numbered
 
 
 def casted(c: Column, kind: T.DataType, to: str) -> Column:
@@ -81,11 +81,11 @@ def fill_nulls(f: Frame, cfg: dict, ctx) -> Frame:
         for i, n in enumerate(fits):
             f = f.set_column(n, F.coalesce(F.col(f"`{n}`"), F.col(f"{HIDDEN}mean{i}")))
         return f.with_df(f.df.drop(*(f"{HIDDEN}mean{i}" for i in range(len(fits)))))
-    elif method in ("lastValue", "nextValue") and not cfg.get("partitionBy") and not f.df.isStreaming:
+    elif method in ("lastValue", "nextValue") and not f.df.isStreaming and (not cfg.get("partitionBy") or has_hot_key(f.df, cfg["partitionBy"], ctx.hot_rows)):
         last, keys = method == "lastValue", [*sort_spec(f, cfg.get("orderBy")), *f.order_columns()]
         held = {n: f"{HIDDEN}fill{i}" for i, n in enumerate(names)}  # the order may go by the columns themselves
         df = f.df.withColumns({h: F.col(f"`{n}`") for n, h in held.items()})
-        f = f.with_df(carried(df, [(c, up == last) for c, up in keys] or [(F.lit(0), True)], list(held.values())))
+        f = f.with_df(carried(df, [(c, up == last) for c, up in keys] or [(F.lit(0), True)], list(held.values()), cfg.get("partitionBy") or []))
         for n in names:
             f = f.keeping_order([n])
         return f.with_df(f.df.withColumns({n: F.col(h) for n, h in held.items()}).drop(*held.values()))

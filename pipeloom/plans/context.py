@@ -62,6 +62,8 @@ class Context:
     #: Own reduces for sheets: name -> SQL aggregate.
     reduces: dict[str, str] = field(default_factory=dict)
     max_stages: int = 32
+    #: Keys with more rows than this are spread over many tasks where a fill or an as-of join would have them in one.
+    hot_rows: int = 5_000_000
     group_keys: list[str] | None = None
     #: The operator that consumes the present stage, if only the next stage does.
     following: str | None = None

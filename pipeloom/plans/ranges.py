@@ -6,6 +6,8 @@ earlier parts is a sum or a last value by part: tables of one row a part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,15 @@ def moved(f: Frame, name: str, by: int) -> tuple[DataFrame, str, str]:
     return df.join(other, i, "left").drop(i), v, there
 
 
-def carried(df: DataFrame, keys: list[tuple[Column, bool]], names: list[str]) -> DataFrame:
-    """Replaces each of the columns by its last value that isn't null, up to the row itself, in the order of the keys."""
+def carried(df: DataFrame, keys: list[tuple[Column, bool]], names: list[str], group: list[str] = ()) -> DataFrame:
+    """Replaces each of the columns by its last value that isn't null, up to the row itself, in the order of the keys; with
+    `group`, by the last one of the row's own group. A group may lie in many parts."""
+    keys = [*((F.col(f"`{g}`"), True) for g in group), *keys]
     sort = [c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in keys]
     df, p = ranged(df, sort)
     w = Window.partitionBy(p).orderBy(*sort).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wrapped = {n: F.when(F.col(f"`{n}`").isNotNull(), F.struct(F.col(f"`{n}`").alias("v"))) for n in names}
+    own = [F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(group)]
+    wrapped = {n: F.when(F.col(f"`{n}`").isNotNull(), F.struct(F.col(f"`{n}`").alias("v"), *own)) for n in names}
     df = df.withColumns({n: F.last(wrapped[n], ignorenulls=True).over(w) for n in names})
     end = hidden("end")
     rn = df.withColumn(end, F.row_number().over(Window.partitionBy(p).orderBy(*sort)))
@@ -70,4 +75,17 @@ def carried(df: DataFrame, keys: list[tuple[Column, bool]], names: list[str]) ->
     earlier = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select(p, *(F.last(f"_{k}", ignorenulls=True).over(earlier).alias(f"_{k}") for k in range(len(names))))
     out = df.join(carry, p)
-    return out.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.col(f"_{k}"))["v"] for k, n in enumerate(names)}).drop(p, *(f"_{k}" for k in range(len(names))))
+
+    def value(k: int, n: str) -> Column:
+        # groups lie one behind the other: a last value of another group means that this one has none yet
+        last = F.coalesce(F.col(f"`{n}`"), F.col(f"_{k}"))
+        same = reduce(Column.__and__, (last[f"g{i}"].eqNullSafe(F.col(f"`{g}`")) for i, g in enumerate(group)), F.lit(True))
+        return F.when(last.isNotNull() & same, last["v"])
+
+    return out.withColumns({n: value(k, n) for k, n in enumerate(names)}).drop(p, *(f"_{k}" for k in range(len(names))))
+
+
+def has_hot_key(df: DataFrame, key: list[str], most: int) -> bool:
+    """True if some key has more than `most` rows: one count by key, of which a row comes back."""
+    top = df.groupBy(*(F.col(f"`{k}`") for k in key)).count().agg(F.max("count")).first()[0]
+    return (top or 0) > most

@@ -275,3 +275,17 @@ def test_asof_without_a_key(spark):
             a = min((x for x in rs if x[0] >= r["t"]), default=None, key=lambda x: (x[0], -x[1]))
             near = b if a is None or b and r["t"] - b[0] <= a[0] - r["t"] else a
             assert r["j"] == ((x := {"backward": b, "forward": a, "nearest": near}[direction]) and x[1]), direction
+
+
+def test_hot_keys_are_spread_with_the_same_result(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}", T(i % 24, i * 7 % 60), None if i % 4 else i) for i in range(240)]
+    left = spark.createDataFrame(rows, "i long, k string, t timestamp_ntz, v long").repartition(6)
+    right = spark.createDataFrame([(j, "hot" if j % 2 else f"k{j % 7}", T(j % 24, j % 60, 30)) for j in range(90)], "j long, rk string, u timestamp_ntz").repartition(3)
+    stages = [s("asofJoin", dataset="r", leftTime="t", rightTime="u", leftKey="k", rightKey="rk", direction=d, as_=d, select=["j"]) for d in ("backward", "forward", "nearest")]
+    stages += [s("compute", as_="w", expr="v"), s("fillNulls", columns=["v"], method="lastValue", partitionBy=["k"], orderBy=["t"]), s("fillNulls", columns=["w"], method="nextValue", partitionBy=["k"], orderBy=["t"])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [sorted(map(str, Engine(Context(spark, Datasets().frame("l", left, key=("i",)).frame("r", right, key=("j",)), hot_rows=n)).execute({"from": "l", "pipe": stages}).rows)) for n in (10, 10**6)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == got[1] and len(got[0]) == 240
