@@ -26,7 +26,7 @@ def id_field(df: DataFrame, id_col: str) -> T.StructField:
     return T.StructField(id_col, df.schema[id_col].dataType, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """Texts may be long: Arrow batches of at most this many rows keep a Python worker's memory low."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

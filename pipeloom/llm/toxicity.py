@@ -134,8 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: in
             ws = [WORD.findall(t.lower()) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([family(w) for w in ws], pa.int64()), b.column("y"), pa.array([len(w) for w in ws], pa.int32()), pa.array([sorted(set(w)) for w in ws], pa.list_(pa.string()))], names=["key", "y", "n", "words"])
 
-    rows = written(picked.select("text", "y").mapInArrow(bags, schema), "bags")
-    one = rows.groupBy("key", "y").agg(F.min_by("words", F.xxhash64("words")).alias("words"))
+    rows = written(picked.select("text", "y").mapInArrow(bags, schema).withColumn("rid", F.monotonically_increasing_id()), "bags")
+    # one text of each family: at most `sample` numbers are broadcast
+    one = rows.join(F.broadcast(rows.groupBy("key", "y").agg(F.min("rid").alias("rid")).select("rid")), "rid")
     n_docs = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
     n1, n0 = n_docs.get(1, 0), n_docs.get(0, 0)
     model = Model({}, gap)
