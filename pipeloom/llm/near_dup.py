@@ -4,9 +4,10 @@ Signature: darts fall into the area weight x rank of each shingle, as a Poisson
 dart has a coordinate; of the darts under a shingle's weight the one of least rank is kept per coordinate. Ranks are thrown in
 slices until each coordinate has its dart, so a text costs about k log k darts however long it is.
 
-Texts that agree in a band share a bucket. In each bucket one member, drawn by hash, is compared with all others: links are
-linear in the rows, and differ by band. Links are verified by the exact similarity of the shingle sets. Buckets that still
-hold several classes are drawn anew until a round adds no link.
+Texts that agree in a band share a bucket. In each bucket a few members, drawn by hash, are compared with all others: links are
+linear in the rows, and differ by band. Links are verified by the exact similarity of the shingle sets. Where the members that
+weren't drawn still lie in several classes, an exact join over the rarest shingles of these texts finds what links are left,
+so that every two texts of a bucket are compared or known to be too far apart, or stand in one class.
 """
 
 from __future__ import annotations
@@ -180,6 +181,75 @@ def classes(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def widened(top: DataFrame, found: DataFrame) -> DataFrame:
+    """top (nid, top), where classes that links in found (ca, cb) join have one name."""
+    if found.isEmpty():
+        return top
+    over = classes(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("nid").alias("top"), F.col("top").alias("over"))
+    # what `over` renames are tops of classes and nodes without one: neither stands among the classes' members
+    return written(top.join(over, "top", "left").select("nid", F.coalesce("over", "top").alias("top")).unionByName(over.select(F.col("top").alias("nid"), F.col("over").alias("top"))), "classes")
+
+
+#: Bits of a shingle's hash that name its slot in the table of counts; its size doesn't depend on the input's.
+SLOT_BITS = 20
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """Of each slot of hashes, in how many of the sets (sh) its shingles stand."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOT_BITS, np.int64)
+        for x in batches:
+            for p in x.column(0).to_pylist():
+                np.add.at(n, np.frombuffer(p, np.uint32) >> np.uint32(32 - SLOT_BITS), 1)
+        slot = np.flatnonzero(n)
+        for i in range(0, len(slot), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(slot[i : i + 100_000].astype(np.int32)), pa.array(n[slot[i : i + 100_000]])], names=["slot", "n"])
+
+    found = sets.select("sh").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select("slot", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.ones(1 << SLOT_BITS, np.int32)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def candidates(sets: DataFrame, least: float) -> DataFrame:
+    """a, b, ca, cb: pairs of sets (nid, c, sh) of different classes c, among them all of at least the given similarity.
+
+    Shingles are ordered from rare to common. A set of n and one as large or larger that are similar enough share a shingle
+    that is among the first n - 2 least n / (1 + least) + 1 of the smaller, and the first (1 - least) n + 1 of the larger; what is
+    common to many dissimilar sets comes later and is not joined. The first shingle they share also leaves enough after it.
+    """
+    common = slot_counts(sets)
+    share = 2 * least / (1 + least)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            firsts, sizes, lengths = [], [], []
+            for p in x.column("sh").to_pylist():
+                h = np.frombuffer(p, np.uint32)
+                n = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                firsts.append(h[np.lexsort((h, common[h >> np.uint32(32 - SLOT_BITS)]))[:n]])
+                sizes.append(len(h))
+                lengths.append(len(firsts[-1]))
+            if sum(lengths):
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+                yield pa.RecordBatch.from_arrays([x.column("nid").take(pa.array(row)), x.column("c").take(pa.array(row)), pa.array(np.concatenate(firsts).view(np.int32)), pa.array(np.array(sizes, np.int32)[row]), pa.array(at)], names=["nid", "c", "s", "m", "at"])
+
+    every = written(sets.select("nid", "c", "sh").mapInArrow(heads, "nid long, c long, s int, m int, at int"), "heads")
+    early = every.where(F.col("at") < F.col("m") - F.ceil(share * F.col("m") - 1e-6) + 1)
+    # By classes first: the members of one class aren't paired with each other, however many share a shingle.
+    mixed = every.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
+    of = every.select("s", F.col("c").alias("cb")).distinct()
+    met = written(early.select("s", F.col("c").alias("ca")).distinct().join(mixed, "s").join(of, "s").where("ca != cb"), "met")
+    small = early.select("s", F.col("c").alias("ca"), F.col("nid").alias("x"), F.col("m").alias("mx"), F.col("at").alias("i"))
+    large = every.select("s", F.col("c").alias("cb"), F.col("nid").alias("y"), F.col("m").alias("my"), F.col("at").alias("j"))
+    fits = (F.col("mx") < F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
+    near = (F.col("mx") >= least * F.col("my") - 1e-6) & (F.least(F.col("mx") - F.col("i"), F.col("my") - F.col("j")) >= share / 2 * (F.col("mx") + F.col("my")) - 1e-6)
+    found = met.join(small, ["s", "ca"]).join(large, ["s", "cb"]).where(fits & near)
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b"), "ca", "cb").distinct()
+
+
 #: Members of a bucket that all others are compared with, each drawn by a hash of its own.
 PIVOTS = 5
 
@@ -200,7 +270,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     banded = given.where("bands is not null").select(F.col("rid").alias("nid"), "bands").join(nodes.select("nid"), "nid").select("nid", F.explode("bands").alias("bucket"))
     drawn = [F.min_by("nid", F.xxhash64("bucket", "nid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *drawn).where("n > 1")
-    met = banded.join(shared, "bucket").select("nid", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p")).where("nid != p")
+    shared = written(shared.select("bucket", "n", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("drawn")), "shared")
+    met = banded.join(shared, "bucket").select("nid", F.explode("drawn").alias("p")).where("nid != p")
     pairs = written(met.groupBy(F.greatest("nid", "p").alias("a"), F.least("nid", "p").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
     ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
     # joined by a shuffle at every size, so that small inputs show what large ones cost
@@ -213,11 +284,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     between = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("ca", F.coalesce("top_a", "a")).withColumn("cb", F.coalesce("top_b", "b")).where("ca != cb")
     crossing = written(between.join(first, ["a", "b"], "left_anti").select("a", "b", "ca", "cb"), "crossing")
     more = written(verified(crossing, sets, least).join(crossing, ["a", "b"]), "links")
-    if not more.isEmpty():
-        over = classes(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("nid").alias("top"), F.col("top").alias("over"))
-        # what `over` renames are tops of classes and nodes without one: neither stands among the classes' members
-        top = written(top.join(over, "top", "left").select("nid", F.coalesce("over", "top").alias("top")).unionByName(over.select(F.col("top").alias("nid"), F.col("over").alias("top"))), "classes")
+    top = widened(top, more)
+    # Then the rest: members that weren't drawn and weren't compared with each other, in buckets where they lie in several classes.
+    undrawn = banded.join(shared.where("n > size(drawn) + 1"), "bucket").where(~F.array_contains("drawn", F.col("nid"))).select("bucket", "nid")
+    placed_ = written(undrawn.join(top, "nid", "left").select("bucket", "nid", F.coalesce("top", "nid").alias("c")), "undrawn")
+    several = placed_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
+    undecided = written(placed_.join(several, "bucket").select("nid", "c").distinct(), "undecided")
     every = links.unionByName(more.select("a", "b"))
+    if not undecided.isEmpty():
+        rest = written(candidates(sets.join(undecided, "nid"), least), "rest")
+        late = written(verified(rest, sets, least).join(rest, ["a", "b"]), "links")
+        top, every = widened(top, late), every.unionByName(late.select("a", "b"))
     degree = every.select(F.col("a").alias("nid")).unionByName(every.select(F.col("b").alias("nid"))).groupBy("nid").agg(F.count(F.lit(1)).alias("n_links"))
     # Names come from counts by class of the texts, which are written: the joins with them have a row per key on one side, so that
     # Spark can split what a large class or a text with many copies brings to the other.

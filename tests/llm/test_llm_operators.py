@@ -326,6 +326,20 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_within_a_large_family(spark):
+    """A thousand texts around one passage, too far apart to be linked, but for close pairs inside."""
+    core, texts = prose(1, 434), []
+    for i in range(1000):
+        texts.append(f"{core} {prose(5000 + i // 2 if i < 400 else 9000 + i, 22)} {prose(20_000 + i, 42)}")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    base = set.intersection(*sets)
+    own = [s - base for s in sets]
+    near = {(i, j) for i in range(1000) for j in range(i) if (n := len(own[i] & own[j]) + len(base)) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)}
+    assert near == {(i + 1, i) for i in range(0, 400, 2)}
+    got = {r["doc_id"]: (r["class_id"], r["class_size"], r["n_links"]) for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: (i // 2 * 2, 2, 1) if i < 400 else (i, 1, 0) for i in range(1000)}
+
+
 def test_near_duplicates_with_odd_identifiers(spark):
     texts = [prose(1), prose(1), prose(2), prose(2), prose(4)]
     got = near_dup.near_duplicates(docs(spark, texts, [None, 5, 7, 7, None])).collect()
