@@ -149,14 +149,24 @@ def robust_zscore(df: DataFrame, params: dict) -> DataFrame:
 
 
 def kmeans(df: DataFrame, params: dict) -> DataFrame:
-    """Cluster numbers under `as` (cluster) by the numeric columns given; k clusters, seed."""
+    """Cluster numbers under `as` (cluster) by the numeric columns given; k clusters, seed. Rows with a null or NaN in one of them
+    don't count for the clusters and get null."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    names = params["columns"]
-    vectors = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="skip").transform(df)
-    model = KMeans(k=params.get("k", 2), seed=params.get("seed", 0), featuresCol="_features", predictionCol=params.get("as") or "cluster").fit(vectors)
-    return model.transform(vectors).drop("_features")
+    names, to = params["columns"], params.get("as") or "cluster"
+    complete = F.lit(True)
+    for c in names:
+        complete &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    marked = df.withColumn("_complete", complete)
+    known = marked.where("_complete")
+    if known.isEmpty():
+        return df.withColumn(to, F.lit(None).cast("int"))
+    filled = {f"_x{i}": F.when(F.col("_complete"), F.col(c).cast("double")).otherwise(0.0) for i, c in enumerate(names)}
+    vectors = VectorAssembler(inputCols=list(filled), outputCol="_features")
+    model = KMeans(k=params.get("k", 2), seed=params.get("seed", 0), featuresCol="_features", predictionCol="_cluster").fit(vectors.transform(known.withColumns(filled)))
+    found = model.transform(vectors.transform(marked.withColumns(filled)))
+    return found.withColumn(to, F.when(F.col("_complete"), F.col("_cluster"))).drop("_complete", "_features", "_cluster", *filled)
 
 
 ALGORITHMS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {"minmax_scale": minmax_scale, "robust_zscore": robust_zscore, "kmeans": kmeans}

@@ -289,3 +289,14 @@ def test_hot_keys_are_spread_with_the_same_result(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got[0] == got[1] and len(got[0]) == 240
+
+
+def test_kmeans_keeps_incomplete_rows(spark):
+    from pipeloom.plans.context import kmeans
+
+    rows = [(1, 0.0, 1), (2, 0.1, 1), (3, 9.0, 8), (4, 9.1, 8), (5, None, 1), (6, float("nan"), 1), (7, 0.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y int")
+    got = {r["id"]: r["cluster"] for r in kmeans(df, {"columns": ["x", "y"], "k": 2}).collect()}
+    assert set(got) == set(range(1, 8)) and got[5] is got[6] is got[7] is None
+    assert got[1] == got[2] != got[3] == got[4] and None not in (got[1], got[3])
+    assert [r["cluster"] for r in kmeans(df.where("id = 5"), {"columns": ["x", "y"]}).collect()] == [None]
