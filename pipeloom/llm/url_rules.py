@@ -35,9 +35,9 @@ def tokenised(df: DataFrame, id_col: str, url_col: str, extra: list[str] = ()) -
     toks = F.concat(
         F.when(F.size(labels) > 0, suffixes).otherwise(F.array().cast("array<string>")),
         F.when(F.size(labels) > 2, F.array(F.concat(F.lit("sub="), labels[0]))).otherwise(F.array().cast("array<string>")),
-        F.transform(segs, lambda s: F.concat(F.lit("path="), F.substring(F.regexp_replace(s, "[0-9]+", "0"), 1, 64))),
-        F.transform(F.filter(segs, lambda s: F.instr(s, ".") > 0), lambda s: F.concat(F.lit("end="), F.substring(F.substring_index(s, ".", -1), 1, 16))),
-        F.transform(F.filter(F.split(F.col("_query"), "&"), lambda s: s != ""), lambda s: F.concat(F.lit("key="), F.substring(F.substring_index(s, "=", 1), 1, 32))),
+        F.transform(segs, lambda s: F.concat(F.lit("path="), F.regexp_replace(s, "[0-9]+", "0"))),
+        F.transform(F.filter(segs, lambda s: F.instr(s, ".") > 0), lambda s: F.concat(F.lit("end="), F.substring_index(s, ".", -1))),
+        F.transform(F.filter(F.split(F.col("_query"), "&"), lambda s: s != ""), lambda s: F.concat(F.lit("key="), F.substring_index(s, "=", 1))),
     )
     return df.select(F.col(id_col), *extra, host.alias("host"), path.alias("path"), query.alias("_query")).withColumn("tokens", F.array_sort(F.array_distinct(toks))).drop("_query")
 

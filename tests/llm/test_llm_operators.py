@@ -212,6 +212,12 @@ def test_url_filter(spark):
     assert url_rules.url_filter(pages, lab.limit(0), rules).where("mined").count() == 0
 
 
+def test_long_url_tokens_stay_apart(spark):
+    urls = [f"http://a.b/{'slug-' * 20}{x}/y.{'e' * 20}{x}?{'k' * 40}{x}=1" for x in "pq"]
+    a, b = (set(r["tokens"]) for r in url_rules.tokenised(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id", "url").collect())
+    assert len(a - b) == len(b - a) == 4
+
+
 def test_inverted_index():
     rules = [(("a", "b"), 0.9), (("c",), 0.8)]
     index, sizes = url_rules.inverted(rules), [2, 1]
