@@ -113,7 +113,8 @@ def format_chats(df: DataFrame, schemas: dict[str, dict] | None = None, conv: st
         F.array_distinct(F.array_sort(F.collect_list(one))).alias("cs"))  # the calls of one message
     rest = messages.where(F.coalesce(F.size("_calls"), F.lit(0)) <= 0)
     first = messages.where(F.size("_calls") > 0).join(by_message, ["conv_id", "turn"], "left")
-    listed = F.concat(F.lit('{"calls":['), F.array_join(F.transform("cs", lambda c: c["json"]), ","), F.lit('],"role":'), F.coalesce(F.substring(F.to_json(F.array("role")), 2, 1000), F.lit("null]")))
+    quoted = F.to_json(F.array("role"))
+    listed = F.concat(F.lit('{"calls":['), F.array_join(F.transform("cs", lambda c: c["json"]), ","), F.lit('],"role":'), F.coalesce(F.substring(quoted, F.lit(2), F.length(quoted)), F.lit("null]")))
     per = lambda f: F.size(F.filter("cs", f)).cast("long")
     made = first.select("conv_id", "turn", "role", F.size("cs").cast("long").alias("n_calls"), per(lambda c: F.instr(c["json"], '"valid":true') > 0).alias("n_valid"), per(lambda c: F.instr(c["json"], '"result_turn":') > 0).alias("n_linked"),
                         F.concat(F.regexp_replace(listed, r"\]$", ""), F.lit(',"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("}")).alias("message"))

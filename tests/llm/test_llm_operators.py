@@ -251,6 +251,15 @@ def test_tool_calls(spark):
     assert toolcalls.format_chats(df.limit(0)).count() == 0
 
 
+def test_call_message_with_a_long_role(spark):
+    import json
+
+    role, call = 'r"' * 900, json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": "{}"}]})
+    (got,) = toolcalls.format_chats(spark.createDataFrame([(1, 0, role, call)], "conv_id long, turn long, role string, text string")).collect()
+    m = json.loads(got["message"])
+    assert m["role"] == role and m["turn"] == 0 and len(m["calls"]) == 1
+
+
 # quality
 def test_base_counts_and_viterbi():
     for text in [t for t in ODD if t] + [prose(1) + "\n" + prose(1) + "\nx\nx\n \n", "a b c d e a b c d e a b c", "a " * 50]:
