@@ -1,16 +1,19 @@
 """Packing into windows: a least-squares plan over the histogram of lengths, then a greedy fill with cuts.
 
-1. An Arrow pass encodes each text once and keeps its length, the checksums of its full windows and its tail's ids.
+1. An Arrow pass encodes each text once and keeps its length, the checksums of its full windows, its tail's checksum and ids.
 2. The histogram of the tails' lengths, in classes of `unit` ids, has window / unit rows at any input size. The driver
    enumerates all combinations of up to `depth` classes that fill a window, solves min |A x - h|, x >= 0 and rounds down.
 3. A tail's number within its class follows from counts by class and group of documents (`per` tails a group), so that no
    task sorts a whole class. The number decides the tail's sequence and offset by the plan.
 4. Tails beyond the plan are laid end to end, and cut where a window ends: of these sequences only the last has padding.
+
+Placing moves numbers only. The ids themselves move once, and only to the tails that a window's end cuts.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,17 +29,31 @@ from pyspark.sql import types as T
 from pipeloom.llm.common import id_field, salts, small_batches, texts, written
 
 #: Entries in a Python worker's table of encoded words; it starts anew beyond this.
-CACHE = 500_000
-#: A whole run of marks at a word's end: the vocabulary encodes it apart from what stands before.
-MARKS = re.compile(r"(?<=[^\W\d_])([.,!?;:%*&$#|]+)(?=[ \n]|\Z)")
+CACHE = 700_000
+#: A run of marks between a letter and a word's end: the vocabulary encodes it apart from what stands before.
+MARKS = r"(\pL)([.,!?;:%*&$#|]+)( |\z)"
+#: How a vocabulary must prepare a text so that words may be encoded apart.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def words_stand_apart(spec: dict) -> bool:
+    """Whether a tokenizer's file says that white space separates words whatever stands beside it, that a run of letters is
+    encoded apart from the marks after it, and that case is dropped letter by letter."""
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and pre[0].get("pattern") == {"Regex": PATTERN} and pre[0].get("invert") is True
+        and [x.get("type") for x in pre] == ["Split", "ByteLevel"] and not pre[-1].get("add_prefix_space") and bool(spec["model"].get("end_of_word_suffix"))
+        and all(not t["lstrip"] and not t["rstrip"] and not t["normalized"] and t["content"].strip() == t["content"] for t in spec["added_tokens"])
+    )
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 16-bit values, from encodings of its words.
+    """Ids of texts as little-endian integers (`kind`: 16 bits, or 32 for a larger vocabulary), from encodings of their words.
 
-    Spaces and line ends separate words for this vocabulary whatever stands beside them, a run of letters is encoded apart from
-    the marks after it, and case is dropped. So each run of letters is encoded once, many in one call: the last id of each ends
-    a word, which tells where the next begins.
+    Where the vocabulary lets words stand apart, each is encoded once, many in one call: the last id of each ends a word, which
+    tells where the next begins. The library gets whole texts where that could differ: with special strings, in any case, or
+    with letters whose composed form appears or goes as case is dropped. For other vocabularies it gets all texts whole.
     """
 
     def __init__(self, path: str):
@@ -45,15 +63,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         vocab = self.tokenizer.get_vocab()
-        if max(vocab.values()) >= 1 << 16:
-            raise ValueError("16 bits don't hold all ids of this vocabulary")
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.by_word = words_stand_apart(spec)
+        self.special = [t["content"].lower() for t in spec["added_tokens"]]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if self.by_word:
+            self.ends[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
@@ -63,9 +85,9 @@ class WordEncoder:
         letters = [w for w in new if w.isalpha()]
         for i in range(0, len(letters), 1000):
             some = letters[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
-            last = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
-            if len(last) == len(some):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            last = (self.kind.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(last) == len(some):  # each word ends at least once, so each ends once
                 raw, at = ids.tobytes(), 0
                 for w, end in zip(some, last, strict=True):
                     self.known[w] = raw[at:end]
@@ -75,12 +97,24 @@ class WordEncoder:
         odd = [w for w in new if not w.isalpha()]
         self.known.update(zip(odd, self._encode(odd), strict=True))
 
+    def _lower(self, text: str) -> str | None:
+        """The text in lower case, line ends as spaces; None if the library must see it whole."""
+        low = text.replace("\u03a3", "\u03c3").lower()  # letter by letter: no final form of sigma
+        if any(s in low for s in self.special):
+            return None
+        if not low.isascii() and ("\u0130" in text or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", low)):
+            return None
+        return low.replace("\n", " ")
+
     def ids(self, rows: list[str]) -> list[bytes]:
-        split = []
-        for t in rows:
-            low = t if "\u03a3" in t else t.lower()  # a final sigma has its own lower case
-            split.append(MARKS.sub(r" \1", low).replace("\n", " ").split(" "))
-        out, at = [], 0
+        low = [self._lower(t) if self.by_word else None for t in rows]
+        apart = [i for i, t in enumerate(low) if t is not None]
+        whole = [i for i, t in enumerate(low) if t is None]
+        out: list[bytes] = [b""] * len(rows)
+        for i, ids in zip(whole, self._encode([rows[i] for i in whole]), strict=True):
+            out[i] = ids
+        split = [t.split(" ") for t in pc.replace_substring_regex(pa.array([low[i] for i in apart], pa.large_string()), MARKS, r"\1 \2\3").to_pylist()]
+        at = 0
         while at < len(split):
             # as many texts as have some 50,000 words, so that the table holds all words of those it serves
             stop, n = at, 0
@@ -88,7 +122,8 @@ class WordEncoder:
                 n += len(split[stop])
                 stop += 1
             self._learn(set().union(*split[at:stop]))
-            out += [b"".join(map(self.known.__getitem__, words)) for words in split[at:stop]]
+            for i, words in zip(apart[at:stop], split[at:stop], strict=True):
+                out[i] = b"".join(map(self.known.__getitem__, words))
             at = stop
         return out
 
@@ -98,8 +133,8 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def crc(ids: bytes) -> int:
-    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+def crc(ids: bytes, kind: np.dtype | str = "<u2") -> int:
+    return zlib.crc32(np.frombuffer(ids, kind).astype("<u4").tobytes())
 
 
 def non_negative_least_squares(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
@@ -172,6 +207,20 @@ def plan(counts: dict[int, int], full: int, depth: int = 3) -> list[tuple[tuple[
     return out
 
 
+def before(df: DataFrame, by: list[str], at: str, sums: dict[str, str], block: int = 4096) -> DataFrame:
+    """df with, for each name -> column of `sums`, the sum of that column over the rows of equal `by` with a smaller `at`.
+
+    Sums run within blocks of `block` values of `at`, then over the blocks' totals, so that no task sees all rows of one key.
+    """
+    first = df.withColumn("_block", F.floor(F.col(at) / block))
+    total = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = first.groupBy(*by, "_block").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    over_blocks = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block")
+    blocks = blocks.select(*by, "_block", *(total(over_blocks, f"_{n}").alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy(*by, "_block").orderBy(at)
+    return first.select("*", *(total(inside, c).alias(n) for n, c in sums.items())).join(blocks, [*by, "_block"]).select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+
+
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, unit: int = 8, depth: int = 3, id_col: str = "doc_id", text_col: str = "text", per: int = 5_000) -> DataFrame:
     """One row per piece: identifier, start (ids of its document before it), length, ids_crc32, doc_tokens, sequence_id and offset.
 
@@ -182,26 +231,30 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, uni
     spark = df.sparkSession
     small_batches(spark)
     ident = id_field(df, id_col)
-    end = np.array([end_id], "<u2").tobytes()
-    first = T.StructType([ident, *(T.StructField(n, t) for n, t in (("n", T.LongType()), ("crcs", T.ArrayType(T.LongType())), ("tail", T.BinaryType())))])
+    long = T.LongType()
+    first = T.StructType([ident, *(T.StructField(n, t) for n, t in (("n", long), ("crcs", T.ArrayType(long)), ("tail_crc", long), ("tail", T.BinaryType())))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, w = word_encoder(tokenizer), 2 * window
+        enc = word_encoder(tokenizer)
+        size, kind = enc.kind.itemsize, enc.kind
+        w, end = size * window, np.array([end_id], kind).tobytes()
         for b in batches:
             ids = [x + end for x in enc.ids(b.column("text").to_pylist())]
+            cut = [len(x) // w * w for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()),
-                    pa.array([[crc(x[i : i + w]) for i in range(0, len(x) // w * w, w)] for x in ids], pa.list_(pa.int64())),
-                    pa.array([x[len(x) // w * w :] for x in ids], pa.binary()),
+                    b.column(0), pa.array([len(x) // size for x in ids], pa.int64()),
+                    pa.array([[crc(x[i : i + w], kind) for i in range(0, k, w)] for x, k in zip(ids, cut, strict=True)], pa.list_(pa.int64())),
+                    pa.array([crc(x[k:], kind) for x, k in zip(ids, cut, strict=True)], pa.int64()), pa.array([x[k:] for x, k in zip(ids, cut, strict=True)], pa.binary()),
                 ],
-                names=[id_col, "n", "crcs", "tail"],
+                names=first.names,
             )
 
-    done = written(texts(df, id_col, text_col).mapInArrow(encode, first), "encoded")
+    done = written(texts(df, id_col, text_col).mapInArrow(encode, first).withColumn("rid", F.monotonically_increasing_id()), "encoded")
     full = window // unit
-    classed = done.withColumn("c", F.ceil((F.col("n") % window) / unit).cast("int")).withColumn("k", F.floor(F.col("n") / window))
-    hist = {r["c"]: r["count"] for r in classed.groupBy("c").count().collect()}
+    lengths = done.select(
+        F.col(id_col).alias("id"), "rid", "n", "crcs", "tail_crc", (F.col("n") % window).alias("t"), F.floor(F.col("n") / window).alias("k"), F.ceil((F.col("n") % window) / unit).cast("int").alias("c"))
+    hist = {r["c"]: r["count"] for r in lengths.groupBy("c").count().collect()}
     n_docs = sum(hist.values())
     hist.pop(0, None)
     takes = plan(hist, full, depth)
@@ -217,58 +270,59 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, uni
     slot_rows = spark.createDataFrame(slots or [(-1, 0, 0, 0, 0)], "c int, lo long, hi long, base long, place int")
     used_rows = spark.createDataFrame(sorted(used.items()) or [(-1, 0)], "c int, planned long")
 
-    groups = salts(n_docs, per)
-    salted = classed.withColumn("g", F.pmod(F.xxhash64(F.col(id_col), "n", "tail"), F.lit(groups)).cast("int"))
-    by_group = salted.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("k").alias("ks"))
-    before = by_group.select("g", "c", F.coalesce(F.sum("m").over(Window.partitionBy("c").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("m0"))
-    in_group = Window.partitionBy("g").orderBy("c", "n", id_col, "tail")
-    in_class = Window.partitionBy("g", "c").orderBy("n", id_col, "tail")
+    # One exchange by group serves all windows; a group's counts come as one row of at most `full` + 1 classes.
+    salted = lengths.withColumn("g", F.pmod(F.xxhash64("rid"), F.lit(salts(n_docs, per))).cast("int"))
+    by_class = before(salted.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")), ["c"], "g", {"m0": "m"})
+    by_group = by_class.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("c", "m0"))).alias("m0"))
+    in_class = Window.partitionBy("g", "c").orderBy("rid")
+    in_group = Window.partitionBy("g").orderBy("c", "rid").rowsBetween(Window.unboundedPreceding, -1)
     numbered = (
-        salted.withColumn("r", F.row_number().over(in_class) - 1)
-        .withColumn("k0", F.coalesce(F.sum("k").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(before, ["g", "c"]).join(F.broadcast(used_rows), "c", "left")
-        .withColumn("r", F.col("r") + F.col("m0")).withColumn("over", (F.col("c") > 0) & (F.col("r") >= F.coalesce("planned", F.lit(0))))
-        .withColumn("rest", F.when(F.col("over"), F.col("n") % window).otherwise(0))
-        .withColumn("p", F.coalesce(F.sum("rest").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        salted.join(by_group.hint("shuffle_hash"), "g").join(F.broadcast(used_rows), "c", "left")
+        .withColumn("r", F.row_number().over(in_class) - 1 + F.element_at("m0", F.col("c")))
+        .withColumn("over", (F.col("c") > 0) & (F.col("r") >= F.coalesce("planned", F.lit(0))))
+        .withColumn("rest", F.when(F.col("over"), F.col("t")).otherwise(0))
+        .withColumn("k0", F.coalesce(F.sum("k").over(in_group), F.lit(0))).withColumn("p0", F.coalesce(F.sum("rest").over(in_group), F.lit(0)))
         .drop("m0", "planned")
     )
     numbered = written(numbered, "numbered")
     sums = written(numbered.groupBy("g").agg(F.sum("k").alias("ks"), F.sum("rest").alias("ps")), "group-sums")
-    running = Window.partitionBy(F.lit(0)).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # a row per group of `per` documents
-    offsets = sums.select("g", F.coalesce(F.sum("ks").over(running), F.lit(0)).alias("kg"), F.coalesce(F.sum("ps").over(running), F.lit(0)).alias("pg"))
-    total = sums.agg(F.coalesce(F.sum("ks"), F.lit(0)).alias("k"), F.coalesce(F.sum("ps"), F.lit(0)).alias("p")).first()
-    full_from = base
-    rest_from = base + total["k"]
+    offsets = before(sums, [], "g", {"kg": "ks", "pg": "ps"}).select("g", "kg", "pg")
+    total = sums.agg(F.coalesce(F.sum("ks"), F.lit(0)).alias("k")).first()["k"]
+    rest_from = base + total
+
+    out = T.StructType([ident, *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
+
+    def piece(start, length, checksum, sequence, offset):
+        values = (start, length, checksum, F.col("n"), sequence, offset)
+        return [F.col("id").alias(id_col), *(v.cast("long").alias(n) for v, n in zip(values, out.names[1:], strict=True))]
 
     # The plan's offset of a tail: the exact lengths of the tails before it in its sequence.
     placed = (
-        numbered.where("c > 0 and not over").join(F.broadcast(slot_rows), "c").where("r >= lo and r < hi")
-        .withColumn("sequence_id", F.col("base") + F.col("r") - F.col("lo"))
-        .withColumn("offset", F.coalesce(F.sum(F.col("n") % window).over(Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        numbered.where("c > 0 and not over").join(F.broadcast(slot_rows), "c").where("r >= lo and r < hi").withColumn("s", F.col("base") + F.col("r") - F.col("lo"))
+        .withColumn("o", F.coalesce(F.sum("t").over(Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select(piece(F.col("k") * window, F.col("t"), F.col("tail_crc"), F.col("s"), F.col("o")))
     )
-    tails = placed.select(id_col, "n", "k", "tail", "sequence_id", "offset", F.lit(False).alias("cut"))
-    rest = numbered.where("over").join(offsets, "g").withColumn("p", F.col("p") + F.col("pg")).select(
-        id_col, "n", "k", "tail", (F.floor(F.col("p") / window) + rest_from).alias("sequence_id"), (F.col("p") % window).alias("offset"), F.lit(True).alias("cut"))
     whole = (
-        numbered.where("k > 0").join(offsets, "g").select(id_col, "n", (F.col("k0") + F.col("kg") + full_from).alias("s"), F.posexplode("crcs").alias("i", "ids_crc32"))
-        .select(id_col, (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", F.col("n").alias("doc_tokens"), (F.col("s") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        numbered.where("k > 0").join(offsets, "g").select("id", "n", (F.col("k0") + F.col("kg") + base).alias("s"), F.posexplode("crcs").alias("i", "crc"))
+        .select(piece(F.col("i") * window, F.lit(window), F.col("crc"), F.col("s") + F.col("i"), F.lit(0)))
     )
-    out = T.StructType([ident, *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rest = numbered.where("over").join(offsets, "g").withColumn("p", F.col("p0") + F.col("pg")).withColumn("s", F.floor(F.col("p") / window) + rest_from).withColumn("o", F.col("p") % window)
+    fits = F.col("o") + F.col("t") <= window
+    uncut = rest.where(fits).select(piece(F.col("k") * window, F.col("t"), F.col("tail_crc"), F.col("s"), F.col("o")))
+    # A tail is shorter than a window, so it is cut once at most. Only here do ids move.
+    cut = done.select("rid", "tail").join(rest.where(~fits).select("rid", "id", "n", "k", "s", "o").hint("shuffle_hash"), "rid").select("id", "n", "k", "s", "o", "tail")
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = word_encoder(tokenizer)
+        size = enc.kind.itemsize
         for b in batches:
-            rows: list[list] = [[] for _ in out.names]
-            for ident_, n, k, tail, seq, off, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at, left = 0, len(tail) // 2
-                while left:
-                    m = min(left, window - off)
-                    for column, v in zip(rows, (ident_, k * window + at, m, crc(tail[2 * at : 2 * (at + m)]), n, seq, off), strict=True):
-                        column.append(v)
-                    at, left, seq, off = at + m, left - m, seq + 1, 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, pa_schema(b.schema.field(0).type), strict=True)], names=out.names)
-
-    def pa_schema(kind: pa.DataType) -> list[pa.Field]:
-        return [pa.field(id_col, kind), *(pa.field(n, pa.int64()) for n in out.names[1:])]
-
-    cut = tails.unionByName(rest).withColumn("k", F.col("k").cast("long")).withColumn("offset", F.col("offset").cast("long")).withColumn("sequence_id", F.col("sequence_id").cast("long"))
-    return whole.unionByName(cut.mapInArrow(pieces, out)).select(*(F.col(f.name).cast(f.dataType) for f in out.fields))
+            at, rows = [], []
+            for i, (n, k, s, o, tail) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+                m = window - o
+                a, z = tail[: size * m], tail[size * m :]
+                at += [i, i]
+                rows += [(k * window, m, crc(a, enc.kind), n, s, o), (k * window + m, len(z) // size, crc(z, enc.kind), n, s + 1, 0)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=out.names)
+
+    return placed.unionByName(whole).unionByName(uncut).unionByName(cut.mapInArrow(halves, out))

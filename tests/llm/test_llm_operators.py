@@ -175,6 +175,36 @@ def test_packing(spark, n):
         assert total / (len(by_seq) * 256) > 0.97
 
 
+def test_word_encoder_gives_the_librarys_ids():
+    """Short strings of letters, marks, special strings in any case, and letters whose composed forms come and go with case."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), packing.WordEncoder(path)
+    assert enc.by_word
+    bits = list("aB1.,!?;:'\"#|$& \n\t\r\u3000\u0301\u0307\u0331\u00e9\u00c9\u0130\u03a3\u03c3\u212a\u1e9e\ufb01\u01c5\u00bd\u0660\ud55c\u1100\u1161") + ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", "'ll", "'RE", "H\u0331", "I\u0307", "word", "x" * 40]
+    r = np.random.default_rng(5)
+    texts = ["".join(bits[i] for i in r.integers(0, len(bits), r.integers(1, 9))) for _ in range(40_000)] + ["\u03a3 \u0130."]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, enc.kind).tolist() for i in range(0, len(texts), 128) for x in enc.ids(texts[i : i + 128])]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_a_vocabulary_whose_words_do_not_stand_apart_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, texts = packing.WordEncoder(path), ["A b  c.\n\nd", "x <|endoftext|> y", ""]
+    assert not enc.by_word
+    assert [np.frombuffer(x, enc.kind).tolist() for x in enc.ids(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_sums_before_a_row_cross_blocks(spark):
+    rows = [(k, i, (i * 7 + k) % 11) for k in range(3) for i in range(50)]
+    got = packing.before(spark.createDataFrame(rows, "k int, g int, m long"), ["k"], "g", {"m0": "m"}, block=8).collect()
+    assert sorted((r["k"], r["g"], r["m0"]) for r in got) == sorted((k, i, sum(m for k2, j, m in rows if k2 == k and j < i)) for k, i, _ in rows)
+
+
 def test_plan_takes_no_more_than_there_is():
     r = np.random.default_rng(0)
     have = {int(c): int(k) for c, k in zip(range(1, 33), r.integers(0, 90, 32), strict=True)}
