@@ -521,11 +521,32 @@ def test_segments_are_the_maximal_ones():
         return brute_segments(x[:i], at) + [(at + i, at + j - 1, best[0])] + brute_segments(x[j:], at + j)
 
     for _ in range(60):
-        x = [float(v) if v > 0 else -1.0 for v in r.integers(-6, 4, 14) + r.random(14)]
-        got = toxicity.segments([(i, v) for i, v in enumerate(x) if v > 0], 1.0)
+        x = [float(v) if v > 0 else -float(w) for v, w in zip(r.integers(-6, 4, 14) + r.random(14), r.random(14) * 2, strict=True)]
+        got = toxicity.segments(x)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(x)]
 
 
+def test_segments_take_time_in_proportion():
+    """Positives far apart, each of which starts lower than all before; and each higher."""
+    import time
+
+    began = time.perf_counter()
+    assert len(toxicity.segments(([3.0] + [-1.0] * 9) * 100_000)) == 100_000
+    assert len(toxicity.segments([3.0, -1.0] * 500_000)) == 1
+    assert len(toxicity.segments([v for i in range(300_000) for v in (1.0 + i % 7, -6.0)])) > 100_000
+    assert time.perf_counter() - began < 20
+
+
+def test_long_toxic_texts_are_fitted_and_scored_alike(spark):
+    """Texts with more segments than any bound: all count, in fitting too, and all significant ones are listed."""
+    far = " ".join(["vilequa scumba", *prose(0, 40).split()])
+    texts = [f"{prose(i, 50)} vilequa {prose(i + 1000, 20)} scumba vileru" if i % 4 == 0 else prose(i, 70) for i in range(200)] + [" ".join(f"{far} {prose(2000 + j, 9)}" for j in range(60)), prose(5, 6000)]
+    lab = [(i, 1, int(i % 4 == 0)) for i in range(200)] + [(200, 1, 1), (201, 1, 0)]
+    got = {x["doc_id"]: x for x in toxicity.toxicity(docs(spark, texts), labels(spark, lab), significance=1.0, prior=10.0).collect()}
+    assert got[200]["n_segments"] == len(got[200]["passages"]) >= 60 and got[200]["predicted"] == 1 and got[201]["predicted"] == 0
+    assert all(a["last"] < b["first"] for a, b in zip(got[200]["passages"], got[200]["passages"][1:], strict=False))
+
+
 def test_toxicity(spark):
     r = np.random.default_rng(8)
     texts, lab = [], []
