@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pipeloom.llm.common import written
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
+CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>,content:string>"
 RESULT = "struct<tool_call_id:string,content:string>"
 #: An argument that refers to another call's result.
 REFERENCE = r'"\$ref"\s*:\s*"([^"]+)"'
@@ -21,7 +21,7 @@ REFERENCE = r'"\$ref"\s*:\s*"([^"]+)"'
 def parsed(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), t.alias("text")).withColumn(
-        "_calls", F.when(F.col("text").rlike(r'^\s*\{[\s\S]*"tool_calls"'), F.from_json("text", CALLS)["tool_calls"])
+        "_calls", F.when(F.col("text").rlike(r'^\s*\{[\s\S]*"tool_calls"'), F.from_json("text", CALLS))
     ).withColumn("_result", F.when(F.col("text").rlike(r'^\s*\{[\s\S]*"tool_call_id"'), F.from_json("text", RESULT)))
 
 
@@ -54,69 +54,80 @@ def canonical(text: Column) -> Column:
     return F.when(m.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}")))
 
 
+def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which equal means null and null too; `on` comes once."""
+    named = b.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in b.columns))
+    return a.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on], how).drop(*(f"_{c}" for c in on))
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of the calls: 0 without references, else one more than the greatest of those; none on a cycle or
+    behind one. A round for each level settles the calls whose references are settled."""
+    if edges.isEmpty():
+        return nodes.select("conv_id", "call_id", F.lit(0).alias("level"))
+    edges = written(edges, "call-edges")
+    referring = edges.select("conv_id", "call_id").distinct()
+    leaves = written(_same(nodes.select("conv_id", "call_id"), referring, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    state, settled = leaves, -1
+    while True:
+        of_ref = state.select("conv_id", F.col("call_id").alias("ref"), "level")
+        found = _same(edges, of_ref, ["conv_id", "ref"], "left").groupBy("conv_id", "call_id").agg(F.when(F.count("level") == F.count(F.lit(1)), F.max("level") + 1).alias("level"))
+        state = written(leaves.unionByName(found), "call-levels")
+        now = state.agg(F.count("level")).first()[0]
+        if now == settled:
+            return state
+        settled = now
+
+
 def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call: conv_id, turn, place, call_id, name, arguments (canonical), valid, level, result_turn, result.
+    """One row per call: rid (the message's), conv_id, turn, place, call_id, name, arguments (canonical), valid, level, result_turn, result.
 
     An identifier's first call by (turn, place) is the one that others refer to and that results link to; its first result after
     it counts. level is the length of the longest chain of references below a call; calls on a cycle, or behind one, have none.
     """
     calls = (
-        messages.where(F.size("_calls") > 0).select("conv_id", "turn", F.posexplode("_calls").alias("place", "c"))
-        .select("conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("raw"))
+        messages.where(F.size("_calls.tool_calls") > 0).select("rid", "conv_id", "turn", F.posexplode("_calls.tool_calls").alias("place", "c"))
+        .select("rid", "conv_id", "turn", "place", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("raw"))
         .withColumn("arguments", canonical(F.col("raw"))).withColumn("valid", valid(F.col("name"), F.col("raw"), schemas))
         .withColumn("refs", F.array_distinct(F.regexp_extract_all(F.coalesce("raw", F.lit("")), F.lit(REFERENCE), F.lit(1)))).drop("raw")
-        .withColumn("key", F.struct("turn", "place"))
+        .withColumn("key", F.struct("turn", "place", "rid"))
     )
     results = messages.where("_result.tool_call_id is not null").select("conv_id", F.col("turn").alias("r_turn"), F.col("_result.tool_call_id").alias("call_id"), F.col("_result.content").alias("content"))
-    firsts = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("key").alias("key"))
-    nodes = written(calls.join(firsts.withColumn("is_first", F.lit(True)), ["conv_id", "call_id", "key"], "left"), "calls")
+    firsts = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("key").alias("first"))
+    nodes = written(_same(calls, firsts, ["conv_id", "call_id"], "left").withColumn("is_first", F.coalesce(F.col("key") == F.col("first"), F.lit(False))).drop("first"), "calls")
+    heads = nodes.where("is_first")
     answered = (
-        nodes.where("is_first").select("conv_id", "call_id", "turn").join(results, ["conv_id", "call_id"]).where("r_turn > turn")
+        _same(heads.select("conv_id", "call_id", "turn"), results, ["conv_id", "call_id"]).where("r_turn > turn")
         .groupBy("conv_id", "call_id").agg(F.min(F.struct("r_turn", "content")).alias("r"))
     )
-    edges = nodes.where("is_first").select("conv_id", "call_id", F.explode("refs").alias("ref")).join(
-        nodes.where("is_first").select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"])
-    levels = nodes.where("is_first").select("conv_id", "call_id").join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done, edges, depth = levels, (edges if edges.isEmpty() else written(edges, "call-edges")), 0
-    while not edges.isEmpty():  # one round per level of the references
-        depth += 1
-        waiting = edges.join(done.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_anti").select("conv_id", "call_id").distinct()
-        ready = edges.select("conv_id", "call_id").distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(depth))
-        ready = written(ready, "call-level")
-        if ready.isEmpty():
-            break
-        done = written(done.unionByName(ready), "call-levels")
-        edges = written(edges.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "call-edges")
-    return (
-        nodes.join(done, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
-        .select("conv_id", "turn", "place", "call_id", "name", "arguments", "valid", F.when(F.col("is_first"), F.col("level")).alias("level"),
-                F.when(F.col("is_first"), F.col("r.r_turn")).alias("result_turn"), F.when(F.col("is_first"), F.col("r.content")).alias("result"))
-    )
+    edges = _same(heads.select("conv_id", "call_id", F.explode("refs").alias("ref")), heads.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"])
+    linked = _same(_same(heads.select("rid", "place", "conv_id", "call_id"), levels(heads, edges), ["conv_id", "call_id"]), answered, ["conv_id", "call_id"], "left")
+    return nodes.drop("key", "refs", "is_first").join(linked.select("rid", "place", "level", F.col("r.r_turn").alias("result_turn"), F.col("r.content").alias("result")), ["rid", "place"], "left")
 
 
 def format_chats(df: DataFrame, schemas: dict[str, dict] | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, n_calls, n_valid, n_linked and message, its canonical JSON.
 
-    Keys are sorted and no white space stands between them. Calls are listed by level and place, with their results inside.
-    A result message that no call takes is an orphan and keeps its text as content. Null texts are empty; a null role is left
-    out of the JSON. Malformed JSON is plain text. Repeated rows each get a row; extra columns are ignored.
+    Keys are sorted and no white space stands between them. Calls are listed by level and place, with their results inside,
+    beside the message's own content. A result message that no call takes is an orphan and keeps its text as content. Null
+    texts are empty; null roles and turns are left out of the JSON; calls and results of a null conversation belong together.
+    Malformed JSON is plain text. Repeated rows each get a row, with their own calls; extra columns are ignored.
     """
     messages = parsed(df, conv, turn, role, text)
-    plain = {"content": F.col("text"), "role": F.col("role"), "turn": F.col("turn")}
-    whole = F.to_json(F.struct(*(v.alias(k) for k, v in sorted(plain.items()))))
+    whole = F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"))
     none = [F.lit(0).cast("long").alias(n) for n in ("n_calls", "n_valid", "n_linked")]
-    if messages.where(F.size("_calls") > 0).isEmpty():
+    calling = F.coalesce(F.size("_calls.tool_calls"), F.lit(0)) > 0
+    if messages.where(calling).isEmpty():
         return messages.select("conv_id", "turn", "role", *none, whole.alias("message"))
-    calls = linked_calls(messages, schemas or {})
-    one = F.struct(F.coalesce("level", F.lit(2147483647)).alias("o1"), F.col("place").alias("o2"), F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "level", "name", "result", "result_turn", "valid")).alias("json"))
-    by_message = calls.groupBy("conv_id", "turn").agg(
-        F.array_distinct(F.array_sort(F.collect_list(one))).alias("cs"))  # the calls of one message
-    rest = messages.where(F.coalesce(F.size("_calls"), F.lit(0)) <= 0)
-    first = messages.where(F.size("_calls") > 0).join(by_message, ["conv_id", "turn"], "left")
-    quoted = F.to_json(F.array("role"))
-    listed = F.concat(F.lit('{"calls":['), F.array_join(F.transform("cs", lambda c: c["json"]), ","), F.lit('],"role":'), F.coalesce(F.substring(quoted, F.lit(2), F.length(quoted)), F.lit("null]")))
+    # Row numbers hold once written. Only messages that call or answer are.
+    numbered = written(messages.where(calling | F.col("_result").isNotNull()).drop("text").withColumn("rid", F.monotonically_increasing_id()), "messages")
+    one = F.struct(
+        F.coalesce("level", F.lit(2147483647)).alias("o1"), F.col("place").alias("o2"), "valid", F.col("result_turn").isNotNull().alias("linked"),
+        F.to_json(F.struct("arguments", F.col("call_id").alias("id"), "level", "name", "result", "result_turn", "valid")).alias("json"))
+    by_message = linked_calls(numbered, schemas or {}).groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("cs"))  # the calls of one message
+    others = F.to_json(F.struct(F.col("_calls.content").alias("content"), "role", "turn"))
+    listed = F.concat(F.lit('{"calls":['), F.array_join(F.transform("cs", lambda c: c["json"]), ","), F.lit("]"), F.when(others == "{}", others.substr(2, 1)).otherwise(F.concat(F.lit(","), others.substr(F.lit(2), F.length(others)))))
     per = lambda f: F.size(F.filter("cs", f)).cast("long")
-    made = first.select("conv_id", "turn", "role", F.size("cs").cast("long").alias("n_calls"), per(lambda c: F.instr(c["json"], '"valid":true') > 0).alias("n_valid"), per(lambda c: F.instr(c["json"], '"result_turn":') > 0).alias("n_linked"),
-                        F.concat(F.regexp_replace(listed, r"\]$", ""), F.lit(',"turn":'), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.lit("}")).alias("message"))
-    return rest.select("conv_id", "turn", "role", *none, whole.alias("message")).unionByName(made)
-
+    made = numbered.where(calling).join(by_message, "rid").select(
+        "conv_id", "turn", "role", F.size("cs").cast("long").alias("n_calls"), per(lambda c: c["valid"]).alias("n_valid"), per(lambda c: c["linked"]).alias("n_linked"), listed.alias("message"))
+    return messages.where(~calling).select("conv_id", "turn", "role", *none, whole.alias("message")).unionByName(made)

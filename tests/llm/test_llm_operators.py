@@ -314,11 +314,79 @@ def test_tool_calls(spark):
     assert [c.get("level") for c in json.loads(got[3, 0, "assistant"]["message"])["calls"]] == [None, None]
     assert json.loads(got[2, 1, None]["message"]) == {"content": "", "turn": 1} and json.loads(got[2, 1, "user"]["message"])["content"] == "{broken"
     assert got[1, 0, "user"]["message"] == '{"content":"hi","role":"user","turn":0}'
-    by = {(r["conv_id"], r["call_id"]): r["valid"] for r in toolcalls.linked_calls(toolcalls.parsed(df, "conv_id", "turn", "role", "text"), loose).collect()}
+    by = {(r["conv_id"], r["call_id"]): r["valid"] for r in toolcalls.linked_calls(toolcalls.parsed(df, "conv_id", "turn", "role", "text").selectExpr("*", "monotonically_increasing_id() AS rid"), loose).collect()}
     assert by[1, "b"] and not by[1, "a"]
     assert toolcalls.format_chats(df.limit(0)).count() == 0
 
 
+def chats_by_hand(rows):
+    """What format_chats gives, with its links found by walking over all messages: (conv_id, turn, role, n_calls, n_valid, n_linked, message)."""
+    import json
+
+    calls, results = [], []
+    for i, (conv, turn, _, text) in enumerate(rows):
+        m = json.loads(text) if (text or "").startswith("{") else {}
+        calls += [(conv, turn, place, i, c) for place, c in enumerate(m.get("tool_calls", []))]
+        if "tool_call_id" in m:
+            results.append((conv, turn, m["tool_call_id"], m.get("content")))
+    order = lambda c: (c[1] is not None, c[1] or 0, c[2], c[3])
+    first = {}
+    for c in sorted(calls, key=order):
+        first.setdefault((c[0], c[4]["id"]), c)
+    refs = {k: [r for r in re.findall(r'"\$ref": ?"([^"]+)"', c[4]["arguments"]) if (k[0], r) in first] for k, c in first.items()}
+    level = {}
+    while True:
+        new = {k: 1 + max(level[k[0], r] for r in rs) if rs else 0 for k, rs in refs.items() if k not in level and all((k[0], r) in level for r in rs)}
+        if not new:
+            break
+        level |= new
+    out = []
+    for i, (conv, turn, role, text) in enumerate(rows):
+        own = [c for c in calls if c[3] == i]
+        if not own:
+            m = {k: v for k, v in (("content", text or ""), ("role", role), ("turn", turn)) if v is not None}
+            out.append((conv, turn, role, 0, 0, 0, json.dumps(m, separators=(",", ":"))))
+            continue
+        listed = []
+        for c in own:
+            head = first[conv, c[4]["id"]][3] == i and first[conv, c[4]["id"]][2] == c[2]
+            args = json.loads(c[4]["arguments"])
+            ok = set(args) == {"x"} and isinstance(args["x"], int)
+            answers = sorted((t, a) for k, t, r, a in results if k == conv and r == c[4]["id"] and t is not None and turn is not None and t > turn) if head else []
+            d = {"arguments": json.dumps(args, separators=(",", ":")), "id": c[4]["id"], "level": level.get((conv, c[4]["id"])) if head else None, "name": "add", "result": answers[0][1] if answers else None, "result_turn": answers[0][0] if answers else None, "valid": ok}
+            listed.append((d["level"] if d["level"] is not None else 1 << 40, c[2], {k: v for k, v in d.items() if v is not None}))
+        listed = [d for *_, d in sorted(listed, key=lambda x: x[:2])]
+        m = {"calls": listed} | {k: v for k, v in (("content", json.loads(text).get("content")), ("role", role), ("turn", turn)) if v is not None}
+        out.append((conv, turn, role, len(own), sum(d["valid"] for d in listed), sum("result_turn" in d for d in listed), json.dumps(m, separators=(",", ":"))))
+    return out
+
+
+def test_tool_calls_against_links_by_hand(spark):
+    """Null conversations and turns, repeated rows and identifiers, chains, cycles and calls that mention other fields' names."""
+    import json
+
+    r = np.random.default_rng(12)
+    rows = []
+    for _ in range(400):
+        conv, turn, role = (None, 1, 2, 3, 4)[r.integers(5)], (None, 0, 1, 2, 3, 4, 5)[r.integers(7)], (None, "assistant", 'q"')[r.integers(3)]
+        kind = r.integers(4)
+        if kind < 2:
+            made = []
+            for _ in range(r.integers(1, 4)):
+                x = ({"$ref": f"c{r.integers(40)}"}, 3, '"valid":true,"result_turn":', 5)[r.integers(4)]
+                made.append({"id": f"c{r.integers(40)}", "name": "add", "arguments": json.dumps({"x": x})})
+            text = json.dumps({"tool_calls": made} | ({"content": "so"} if r.integers(2) else {}))
+        else:
+            text = json.dumps({"tool_call_id": f"c{r.integers(40)}", "content": f"r{r.integers(5)}"}) if kind == 2 else (None, "hi", "")[r.integers(3)]
+        rows.append((conv, turn, role, text))
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    schemas = {"add": {"required": ["x"], "properties": {"x": {"type": "integer"}}}}
+    got, want = collections.Counter(map(tuple, toolcalls.format_chats(df, schemas).collect())), collections.Counter(chats_by_hand(rows))
+    assert got == want
+    assert sum(k[5] for k in want) >= 15 and any('"level":2' in k[6] for k in want)
+
+
 def test_call_message_with_a_long_role(spark):
     import json
 
