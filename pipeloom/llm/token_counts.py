@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from pipeloom.llm.common import id_field, small_batches, texts
 
-#: A single space between two characters that aren't spaces. The encoder puts a space mark before a text, so that what
-#: follows the cut gets back the mark that the cut takes away. See `cuts_are_safe`.
-CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
+#: A single space between two characters that are neither spaces nor space marks. The encoder puts a mark before a text, so that
+#: what follows the cut gets back the mark that the cut takes away; pieces of many marks may reach over one. See `cuts_are_safe`.
+CUT = re.compile("(?<=[^ \u2581]) (?=[^ \u2581])")
 
 
 @lru_cache(maxsize=4)
@@ -45,6 +45,10 @@ def split_text(text: str, at_most: int) -> list[str]:
     return parts
 
 
+def size_of(part: str) -> int:
+    return len(part) if part.isascii() else len(part.encode())
+
+
 def lengths(rows: list[str], path: str, batch_bytes: int, part_chars: int) -> list[int]:
     """Token counts of the texts. Parts of all texts fill batches of about `batch_bytes`, whatever the texts' own sizes."""
     sp, safe = encoder(path)
@@ -60,7 +64,7 @@ def lengths(rows: list[str], path: str, batch_bytes: int, part_chars: int) -> li
         for part in split_text(text, part_chars) if safe else [text]:
             parts.append(part)
             owners.append(i)
-            size += len(part)
+            size += size_of(part)
             if size >= batch_bytes:
                 flush()
                 size = 0
