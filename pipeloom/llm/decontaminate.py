@@ -8,10 +8,12 @@ Myers' bit-parallel distance verifies the stretch around each.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,30 @@ def best_match(item_masks: dict[str, int], m: int, text: str, k: int) -> tuple[i
     return best
 
 
+def match_length(reversed_masks: dict[str, int], m: int, text: str, edits: int) -> int:
+    """The least length of a stretch at the end of `text` that is as many edits from the item, whose masks are those of it
+    reversed."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score = full, 0, m
+    for j, c in enumerate(reversed(text)):
+        if score <= edits:
+            return j
+        eq = reversed_masks.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv) & full
+        mh = pv & xh
+        if ph & top:
+            score += 1
+        elif mh & top:
+            score -= 1
+        ph = (ph << 1 | 1) & full  # the stretch begins here: each character before it costs
+        mh = mh << 1 & full
+        pv = mh | ~(xv | ph) & full
+        mv = ph & xv
+    return len(text)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
@@ -114,58 +140,78 @@ class Matcher:
                 hit = best_match(item_masks, len(item), t[a:b], k)
                 if hit and (found is None or hit[0] < found[0]):
                     out[at] = (hit[0], a, a + hit[1])
-        return {self.items[at][0]: v for at, v in out.items()}
+        best: dict[int, tuple[int, int, int]] = {}
+        for at, (edits, a, end) in out.items():
+            ident, item, _, _ = self.items[at]
+            if edits:
+                a = end - match_length(masks(item[::-1]), len(item), t[a:end], edits)
+            if ident not in best or (edits, a, end) < best[ident]:  # of texts under one identifier, the nearest
+                best[ident] = (edits, a, end)
+        return best
+
+
+#: The last block's matcher of a Python worker, by the block's key.
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher(key: str, items: list[tuple[int, str]], rate: float) -> Matcher:
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(items, rate)
+    return _matchers[key]
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.08, block: int = 20_000) -> DataFrame:
+def blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int) -> Iterator[tuple[str, Broadcast]]:
+    """The items with an identifier and a text, dealt by hash to blocks of about `block_bytes` of text; each goes to the driver and
+    to executors in turn, so that no more is held at once."""
+    spark = benchmark.sparkSession
+    items = texts(benchmark, item_col, item_text).where(F.col(item_col).isNotNull() & (F.length("text") > 0)).dropDuplicates([item_col, "text"])
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_bytes))
+    dealt = items.withColumn("_b", F.pmod(F.xxhash64(item_col), F.lit(n)))  # texts under one identifier meet
+    for b in range(n):
+        rows = dealt.where(F.col("_b") == b).select(F.col(item_col).cast("long"), "text").orderBy(item_col, "text").collect()
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in rows])
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.08, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document and item that it holds: identifier, item_id, edits, start and end (in the normal form).
 
-    An item matches if some stretch of the document is within `rate` of the item's characters in edits. Items go to executors
-    in blocks of `block`, so that no more of them is broadcast at once. Null and empty texts and items match nothing; documents
-    without a match have no row. Of repeated rows each gets its own. Extra columns are ignored.
+    An item matches if some stretch of the document is within `rate` of the item's characters in edits; the nearest stretch
+    counts, and of several texts under one item_id the nearest. Items go to executors in blocks of about `block_bytes`, and the
+    documents are read once a block. Null and empty texts and items match nothing; documents without a match have no row. Of
+    repeated rows each gets its own. Extra columns are ignored.
     """
-    spark = df.sparkSession
-    small_batches(spark)
+    small_batches(df.sparkSession)
     docs = texts(df, id_col, text_col)
-    items = texts(benchmark, item_col, item_text).where(F.col(item_col).isNotNull() & (F.length("text") > 0)).dropDuplicates([item_col, "text"])
-    n = items.count()
     schema = T.StructType([id_field(df, id_col), T.StructField("item_id", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("edits", "start", "end"))])
-    n_blocks = max(1, -(-n // block))
-    dealt = items.withColumn("_b", F.pmod(F.xxhash64(item_col, "text"), F.lit(n_blocks)))
-
-    def one(b: int) -> DataFrame:
-        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in dealt.where(F.col("_b") == b).select(F.col(item_col).cast("long"), "text").orderBy(item_col, "text").collect()])
 
+    def one(key: str, held: Broadcast) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, rate)
+            m = matcher(key, held.value, rate)
             for batch in batches:
                 ids, rows = batch.column(0), []
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    rows += [(i, item, *v) for item, v in sorted(matcher.matches(text).items())]
+                    rows += [(i, item, *v) for item, v in sorted(m.matches(text).items())]
                 if rows:
                     at, item, edits, start, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), *(pa.array(c, pa.int32()) for c in (edits, start, end))], names=schema.names)
 
         return docs.mapInArrow(find, schema)
 
-    return reduce(DataFrame.unionByName, [one(b) for b in range(n_blocks)])
+    return reduce(DataFrame.unionByName, [one(*b) for b in blocks(benchmark, item_col, item_text, block_bytes)])
 
 
-def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = 0.08, block: int = 20_000) -> DataFrame:
+def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = 0.08, block_bytes: int = 4 << 20) -> DataFrame:
     """df's rows whose text holds no item, with all their columns, in one pass a block. Null texts stay."""
-    spark = df.sparkSession
-    small_batches(spark)
-    items = texts(benchmark, "item_id", "text").where("item_id is not null and length(text) > 0").dropDuplicates(["item_id", "text"])
-    n_blocks = max(1, -(-items.count() // block))
-    dealt = items.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
-    for b in range(n_blocks):
-        held = spark.sparkContext.broadcast([(r[0], r[1]) for r in dealt.where(F.col("_b") == b).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()])
+    for key, held in blocks(benchmark, item_col, item_text, block_bytes):
 
-        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, rate)
+        def keep(batches: Iterator[pa.RecordBatch], key=key, held=held) -> Iterator[pa.RecordBatch]:
+            m = matcher(key, held.value, rate)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.matches(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not m.matches(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         df = df.mapInArrow(keep, df.schema)
     return df
