@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipeloom.llm.common import id_field
+from pipeloom.llm.common import id_field, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
@@ -42,39 +42,61 @@ def tokenised(df: DataFrame, id_col: str, url_col: str, extra: list[str] = ()) -
     return df.select(F.col(id_col), *extra, host.alias("host"), path.alias("path"), query.alias("_query")).withColumn("tokens", F.array_sort(F.array_distinct(toks))).drop("_query")
 
 
-def mine(pages: DataFrame, labels: DataFrame, id_col: str, label_id: str, bad: Column, min_support: float, min_confidence: float, max_rules: int) -> list[tuple[tuple[str, ...], float]]:
-    """(URL tokens, confidence that a URL with all of them is bad). Rules without support, confidence or a lift over 1.2 go, as do
-    rules that a shorter one implies with at least their confidence. At most max_rules, of the greatest confidence and support."""
+def mine(pages: DataFrame, labels: DataFrame, id_col: str, label_id: str, bad: Column, min_support: float, min_confidence: float, max_rules: int) -> list[tuple[frozenset[str], ...]]:
+    """Rules: groups of URL tokens. A URL with a token of each group is bad with the given confidence, support, and a lift over 1.2.
+
+    Tokens that stand in the same URLs throughout are one group, so that what always comes together makes one itemset and not
+    one for each subset. A group that is a rule alone takes no part in longer ones, which would block nothing more; nor does a
+    token without support among bad URLs. More than `max_rules` tokens or rules are refused: none is dropped.
+    """
     from pyspark.ml.fpm import FPGrowth
 
-    y = labels.select(F.col(label_id).alias(id_col), bad.alias("_bad")).where(f"{id_col} is not null and _bad is not null").groupBy(id_col).agg(F.max("_bad").alias("_bad"))
-    items = pages.join(y, id_col).select(F.when(F.col("_bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    if items.isEmpty():
+    y = labels.select(F.col(label_id).alias(id_col), bad.alias("_bad")).where(F.col(id_col).isNotNull() & F.col("_bad").isNotNull()).groupBy(id_col).agg(F.max("_bad").alias("_bad"))
+    rows = written(pages.join(y, id_col).where(F.size("tokens") > 0).select("tokens", F.col("_bad").cast("int").alias("bad"), F.monotonically_increasing_id().alias("rid")), "labelled-urls")
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if not n_bad:
         return []
+    least, share = min_support * n, max(min_confidence, 1.2 * n_bad / n)
+    tokens = rows.select(F.explode("tokens").alias("t"), "bad", "rid").groupBy("t").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("s")).where(F.col("n_bad") >= least)
+    groups = tokens.groupBy("n", "n_bad", "x", "s").agg(F.sort_array(F.collect_list("t")).alias("ts")).limit(max_rules + 1).collect()
+    # each of these tokens has min_support among all rows: their number is bounded by 1 / min_support times the tokens of a URL
+    if len(groups) > max_rules:
+        raise ValueError(f"over {max_rules} groups of tokens have support: raise min_support or max_rules")
+    alone = [g for g in groups if g["n_bad"] >= share * g["n"]]
+    rules = [(frozenset(g["ts"]),) for g in alone]
+    members = {g["ts"][0]: frozenset(g["ts"]) for g in groups if g["n_bad"] < share * g["n"]}
+    if not members:
+        return rules
+    known = F.array(*map(F.lit, sorted(members)))
+    items = rows.select(F.array_intersect("tokens", known).alias("items"), "bad").select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") > 1.2)).orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.concat_ws(" ", F.array_sort("antecedent"))).limit(max_rules).collect()
-    kept: list[tuple[tuple[str, ...], float]] = []
-    for r in sorted(found, key=lambda r: (len(r["antecedent"]), -r["confidence"], sorted(r["antecedent"]))):
-        have = set(r["antecedent"])
-        if not any(set(a) <= have and c >= r["confidence"] for a, c in kept):
-            kept.append((tuple(sorted(have)), r["confidence"]))
-    return kept
-
-
-def inverted(rules: list[tuple[tuple[str, ...], float]]) -> dict[str, list[int]]:
-    index: dict[str, list[int]] = {}
-    for i, (parts, _) in enumerate(rules):
-        for t in parts:
-            index.setdefault(t, []).append(i)
+    found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") > 1.2)).select("antecedent").limit(max_rules + 1).collect()
+    if len(found) > max_rules:
+        raise ValueError(f"over {max_rules} rules: raise min_support, min_confidence or max_rules")
+    kept: list[frozenset[str]] = []
+    for have in sorted((frozenset(r["antecedent"]) for r in found), key=lambda a: (len(a), sorted(a))):
+        if not any(a <= have for a in kept):  # a shorter rule blocks all that this one does
+            kept.append(have)
+    return rules + [tuple(members[t] for t in sorted(a)) for a in kept]
+
+
+def inverted(rules: list[tuple[frozenset[str], ...]]) -> dict[str, list[tuple[int, int]]]:
+    """Token -> (rule, place of the group in it)."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    for i, groups in enumerate(rules):
+        for j, group in enumerate(groups):
+            for t in group:
+                index.setdefault(t, []).append((i, j))
     return index
 
 
-def fired(toks: list[str], index: dict[str, list[int]], sizes: list[int]) -> bool:
-    seen: dict[int, int] = {}
+def fired(toks: list[str], index: dict[str, list[tuple[int, int]]], sizes: list[int]) -> bool:
+    seen: dict[int, set[int]] = {}
     for t in toks:
-        for i in index.get(t, ()):
-            seen[i] = seen.get(i, 0) + 1
-            if seen[i] == sizes[i]:
+        for i, j in index.get(t, ()):
+            seen.setdefault(i, set()).add(j)
+            if len(seen[i]) == sizes[i]:
                 return True
     return False
 
@@ -94,12 +116,12 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
 
     A listed rule decides; else a URL is blocked if all tokens of a mined rule are among its own. Null URLs and those without
     :// have an empty host and path, fit no rule and are allowed. Without labelled rows nothing is mined. Repeated rows each
-    get a row; extra columns are ignored. The mined rules that are sent to executors number at most max_rules.
+    get a row; extra columns are ignored. Executors get all mined rules, which number at most max_rules (more are refused).
     """
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False)) if bad is None else bad
     toks = tokenised(pages, id_col, url_col)
     mined = mine(toks, labels, id_col, label_id, bad, min_support, min_confidence, max_rules)
-    index, sizes = inverted(mined), [len(a) for a, _ in mined]
+    index, sizes = inverted(mined), [len(groups) for groups in mined]
     schema = T.StructType([id_field(pages, id_col), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("mined", T.BooleanType())])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
