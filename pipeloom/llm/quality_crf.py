@@ -115,48 +115,56 @@ class Chain:
             out.append(pair[out[-1]])
         return out[::-1]
 
-    def fit(self, sequences: list[tuple[list[int], int]], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> None:
-        """Gradient ascent on the likelihood of sequences whose lines all bear the given label; classes weigh alike."""
-        sequences = [(f, y) for f, y in sequences if f]
-        if len({y for _, y in sequences}) < 2:
+    def fit(self, sequences: list[tuple[list[int], int, float]], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> None:
+        """Gradient ascent on the likelihood of sequences whose lines all bear the given label; classes weigh alike. A sequence
+        comes with its share of its text."""
+        sequences = [(f, y, part) for f, y, part in sequences if f]
+        if len({y for _, y, _ in sequences}) < 2:
             self.w[0] = 1.0  # nothing to tell boilerplate from content: content
             return
-        n_of = {y: sum(v == y for _, v in sequences) for y in (0, 1)}
-        by_length: dict[int, list[tuple[list[int], int]]] = {}
-        for s in sequences:
-            by_length.setdefault(len(s[0]), []).append(s)
+        n_of = {y: sum(part for _, v, part in sequences if v == y) for y in (0, 1)}
+        by_length: dict[int, list[tuple[list[int], int, float]]] = {}
+        for s in sequences:  # padded to a power of two, so that few steps serve all
+            by_length.setdefault((len(s[0]) - 1).bit_length(), []).append(s)
         packs = []
         for _, group in sorted(by_length.items()):
-            x = np.array([[[f >> i & 1 for i in range(N_FEATURES)] for f in s] for s, _ in group], float)
-            y = np.array([v for _, v in group])
-            packs.append((x, y, np.array([1 / n_of[v] / 2 for v in y])))
+            sizes = np.array([len(f) for f, _, _ in group])
+            bits = np.zeros((len(group), int(sizes.max())), np.int64)
+            for row, (f, _, _) in zip(bits, group, strict=True):
+                row[: len(f)] = f
+            real = np.arange(bits.shape[1]) < sizes[:, None]
+            y = np.array([v for _, v, _ in group])
+            weight = np.array([part / n_of[v] / 2 for _, v, part in group])
+            x = (bits[:, :, None] >> np.arange(N_FEATURES) & 1).astype(float) * real[:, :, None]
+            packs.append((x, y, weight / sizes, sizes, real))
         gw2, gt2 = np.full(N_FEATURES, 1e-8), np.full((2, 2), 1e-8)
         for _ in range(rounds):
             gw, gt = -ridge * self.w, -ridge * self.t
-            for x, y, weight in packs:
+            for x, y, weight, sizes, real in packs:
                 e = x @ self.w
                 m, n = e.shape
                 fwd = np.zeros((n, m, 2))
                 bwd = np.zeros((n, m, 2))
                 fwd[0, :, 1] = e[:, 0]
                 for i in range(1, n):
-                    fwd[i] = np.logaddexp.reduce(fwd[i - 1][:, :, None] + self.t, axis=1)
-                    fwd[i, :, 1] += e[:, i]
+                    step = np.logaddexp.reduce(fwd[i - 1][:, :, None] + self.t, axis=1)
+                    step[:, 1] += e[:, i]
+                    fwd[i] = np.where(real[:, i, None], step, fwd[i - 1])
                 for i in range(n - 2, -1, -1):
                     nxt = bwd[i + 1].copy()
                     nxt[:, 1] += e[:, i + 1]
-                    bwd[i] = np.logaddexp.reduce(self.t + nxt[:, None, :], axis=2)
+                    bwd[i] = np.where(real[:, i + 1, None], np.logaddexp.reduce(self.t + nxt[:, None, :], axis=2), bwd[i + 1])
                 z = np.logaddexp.reduce(fwd[-1], axis=1)
                 p1 = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z).T
-                # a line's share of its text's weight, so that long texts don't drown short ones
-                gw += np.einsum("m,mn,mnf->f", weight / n, y[:, None] - p1, x)
+                # a line's share of its text's weight, so that long texts don't drown short ones; padding has no features
+                gw += np.einsum("m,mn,mnf->f", weight, y[:, None] - p1, x)
                 for i in range(1, n):
                     nxt = bwd[i].copy()
                     nxt[:, 1] += e[:, i]
                     pair = np.exp(fwd[i - 1][:, :, None] + self.t + nxt[:, None, :] - z[:, None, None])
-                    gt -= np.einsum("m,mab->ab", weight / n, pair)
-                gt[0, 0] += (weight * (y == 0) * (n - 1) / n).sum()
-                gt[1, 1] += (weight * (y == 1) * (n - 1) / n).sum()
+                    gt -= np.einsum("m,mab->ab", weight * real[:, i], pair)
+                gt[0, 0] += (weight * (y == 0) * (sizes - 1)).sum()
+                gt[1, 1] += (weight * (y == 1) * (sizes - 1)).sum()
             gw2, gt2 = gw2 + gw * gw, gt2 + gt * gt
             self.w += rate * gw / np.sqrt(gw2)
             self.t += rate * gt / np.sqrt(gt2)
@@ -164,19 +172,22 @@ class Chain:
         self.known.clear()
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = 6_000, most_lines: int = 200) -> Chain:
-    """A chain from at most `sample` labelled documents, chosen by hash; of a document with more lines, an even selection of
-    `most_lines` counts for fitting (a text of any length is decoded whole)."""
+def windows(feats: list[int], y: int, most: int) -> list[tuple[list[int], int, float]]:
+    """A text's lines in stretches of at most `most`, each with its share of the text."""
+    return [(feats[i : i + most], y, len(feats[i : i + most]) / len(feats)) for i in range(0, len(feats), most)]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: int = 6_000, stretch: int = 256) -> Chain:
+    """A chain from at most `sample` labelled documents, chosen by hash. All their lines count; long documents are fitted in
+    stretches of `stretch` lines in a row, which share the document's weight (a text of any length is decoded whole)."""
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [sequence(t)[0] for t in b.column("text").to_pylist()]
-            got = [g if len(g) <= most_lines else g[:: -(-len(g) // most_lines)] for g in got]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(got, pa.list_(pa.int64()))], names=["y", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([sequence(t)[0] for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["y", "f"])
 
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "quality", sample, id_col).select("text", "y").mapInArrow(feats, "y int, f array<long>").collect()  # bounded by sample * most_lines
+    rows = labelled_sample(docs, labels, "quality", sample, id_col).select("text", "y").mapInArrow(feats, "y int, f array<long>").collect()  # a number a line of at most `sample` documents
     chain = Chain()
-    chain.fit(sorted(((list(r["f"]), int(r["y"] > 0)) for r in rows), key=lambda s: (len(s[0]), s)))
+    chain.fit([w for f, y in sorted(((list(r["f"]), int(r["y"] > 0)) for r in rows), key=lambda s: (len(s[0]), s)) for w in windows(f, y, stretch)])
     return chain
 
 
