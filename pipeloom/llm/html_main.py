@@ -31,7 +31,12 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
+#: Quotes count in a tag only after an equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)", re.DOTALL)
+#: What a head may hold; anything else ends one that is open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: Attributes that may give an inline element marks of its own.
+TELLING = re.compile(r"class|\bid\b|role|hidden|style|itemprop", re.IGNORECASE)
 NAME = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE | re.DOTALL)
 
 #: Words in class, id and role, by what they mark.
@@ -47,8 +52,8 @@ MARKS = {
     "content": "article content post entry story main body text articlebody post-content entry-content article-body".split(),
 }
 MARK_OF = {w: kind for kind, words in MARKS.items() for w in words}
-TAGS = {"article": "article", "main": "main", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "select": "form", "dialog": "aside", "p": "p", "pre": "p", "blockquote": "p", "li": "li", "ul": "ul", "ol": "ul", "td": "cell", "th": "cell", "div": "div", "section": "div", "h1": "h1", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "head": "head", "noscript": "aside", "template": "aside", "svg": "aside", "fieldset": "form", "html": "root", "body": "root", "": "root"}
-FEATURES = ("bias", *sorted({f"tag_{t}" for t in TAGS.values()}), "tag_other", *(f"mark_{m}" for m in MARKS), "hidden", "no_text", "short", "middle", "long", "ends_sentence", "linked", "half_linked", "under_article")
+TAGS = {"article": "article", "main": "main", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "button", "dialog": "aside", "p": "p", "pre": "p", "blockquote": "p", "li": "li", "ul": "ul", "ol": "ul", "td": "cell", "th": "cell", "div": "div", "section": "div", "h1": "h1", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "table": "table", "tbody": "table", "tr": "table", "fieldset": "form", **dict.fromkeys(INLINE, "inline"), "html": "root", "body": "root", "": "root"}
+FEATURES = ("bias", *sorted({f"tag_{t}" for t in TAGS.values()}), "tag_other", *(f"mark_{m}" for m in MARKS), "hidden", "no_text", "short", "middle", "long", "ends_sentence", "linked", "half_linked", "under_article", "sentences")
 PLACE = {f: i for i, f in enumerate(FEATURES)}
 N = len(FEATURES)
 #: Parent and child: (neither, content below none, none below content, both).
@@ -77,35 +82,44 @@ def attributes(raw: str) -> tuple[frozenset[str], bool]:
     return frozenset(marks), hidden
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The nodes, parents first, and the blocks in page order: node and text, its white space collapsed."""
+def gold_of(raw: str) -> int | None:
+    """The label that an element of a labelled page bears."""
+    return int(re.search(r'data-gold="(\d)"', raw)[1]) if "data-gold" in raw else None
+
+
+#: The parts of a block: node and text.
+Block = list[tuple[int, str]]
+
+
+def joined(parts: Block) -> str:
+    """The text of a block's parts, its white space collapsed."""
+    return " ".join("".join(t for _, t in parts).split())
+
+
+def parse(page: str) -> tuple[list[Node], list[Block]]:
+    """The nodes, parents first, and the blocks in page order. Inline elements with marks are nodes inside a block."""
     nodes = [Node("", -1, frozenset(), False)]
     stack: list[tuple[str, int]] = [("", 0)]  # open elements, inline ones too, with the node that takes their text
-    blocks: list[tuple[int, str]] = []
-    run: list[str] = []
+    blocks: list[Block] = []
+    run: Block = []
     links = 0  # open links
     opened: dict[str, int] = {}  # how many of each stand open
-    at, n, end_of_run = 0, len(page), 0
+    at, n = 0, len(page)
     lower: str | None = None
 
     def flush() -> None:
         nonlocal run
         if run:
-            text = " ".join("".join(run).split())
-            if text:
-                blocks.append((end_of_run, text))
+            if any(t and not t.isspace() for _, t in run):
+                blocks.append(run)
             run = []
 
     def take(s: str) -> None:
-        nonlocal end_of_run
         if not s:
             return
         s = html.unescape(s) if "&" in s else s
         node = stack[-1][1]
-        if run and node != end_of_run:
-            flush()
-        end_of_run = node
-        run.append(s)
+        run.append((node, s))
         size = len(s) - s.count(" ") if len(s) < 40 else len(s)
         nodes[node].text += size if not s.isspace() else 0
         if links and not s.isspace():
@@ -136,7 +150,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                run.append("\n")
+                run.append((stack[-1][1], "\n"))
             elif tag == "p" and not opened.get("p"):
                 flush()
             else:
@@ -147,6 +161,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag == "a" and links:
             close("a")
+        if tag not in IN_HEAD and opened.get("head"):
+            close("head")
         if tag in ENDS_P:
             close("p", ("table", "td", "th", "button", "object"))
         if tag in SIBLING:
@@ -154,15 +170,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 close(t, SCOPE[tag])
         if tag in INLINE:
             if tag not in VOID:
-                stack.append((tag, stack[-1][1]))
+                node = stack[-1][1]
+                if m[3] and TELLING.search(m[3]):
+                    marks, hidden = attributes(m[3])
+                    if marks or hidden:
+                        nodes.append(Node(tag, node, marks, hidden, gold_of(m[3])))
+                        node = len(nodes) - 1
+                stack.append((tag, node))
                 opened[tag] = opened.get(tag, 0) + 1
                 links += tag == "a"
         elif tag not in VOID:
             flush()
             marks, hidden = attributes(m[3]) if m[3] else (frozenset(), False)
-            nodes.append(Node(tag, stack[-1][1], marks, hidden))
-            if m[3] and "data-gold" in m[3]:
-                nodes[-1].gold = int(re.search(r'data-gold="(\d)"', m[3])[1])
+            nodes.append(Node(tag, stack[-1][1], marks, hidden, gold_of(m[3])))
             if tag not in RAW:
                 stack.append((tag, len(nodes) - 1))
                 opened[tag] = opened.get(tag, 0) + 1
@@ -180,14 +200,20 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
-def describe(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
+def describe(nodes: list[Node], blocks: list[Block]) -> None:
     """Sets each node's features. Text of a node without its own is that of its blocks below."""
     ends = [False] * len(nodes)
     total = [x.text for x in nodes]
     linked = [x.links for x in nodes]
-    for k, text in blocks:
-        ends[k] |= text[-1] in ".!?\"”»:" and len(text) > 12
+    sentences = [0] * len(nodes)
+    for parts in blocks:
+        text = joined(parts)
+        if text and text[-1] in ".!?\"”»:" and len(text) > 12:
+            for k in {k for k, t in parts if not t.isspace()}:
+                ends[k] = True
+                sentences[k] += 1
     for k in range(len(nodes) - 1, 0, -1):
+        sentences[nodes[k].parent] += sentences[k]
         total[nodes[k].parent] += total[k]
         linked[nodes[k].parent] += linked[k]
     below = [False] * len(nodes)
@@ -207,6 +233,8 @@ def describe(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
             f.append("half_linked")
         if below[k]:
             f.append("under_article")
+        if sentences[k] > 2:
+            f.append("sentences")
         x.feats = tuple(PLACE[i] for i in f)
 
 
@@ -245,58 +273,86 @@ def marginals(nodes: list[Node], w: list[float], pair: list[float]) -> tuple[lis
     return at1, counts
 
 
-def labelled_pages(n: int = 48) -> list[str]:
-    """Pages of several layouts whose elements bear their labels (data-gold), written by a fixed seed."""
+def labelled_pages(n: int = 72) -> list[str]:
+    """Pages of several layouts whose elements bear their labels (data-gold), written by a fixed seed: with and without telling
+    elements and names, inside one form, laid out by tables, with unclosed elements, articles among the clutter, and inline
+    clutter."""
     r = random.Random(7)
     word = lambda: "".join(r.choice(("ba", "ne", "ti", "lo", "ru", "sa", "me", "ko")) for _ in range(r.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     sentence = lambda a=4, b=18: words(a, b).capitalize() + "."
-    menu = lambda k: "<ul data-gold=\"0\">" + "".join(f'<li data-gold="0"><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(k)) + "</ul>"
-    para = lambda: f'<p data-gold="1">{" ".join(sentence() for _ in range(r.choice((1, 1, 2, 4, 6))))}</p>'
-
-    def clutter(kind: str) -> str:
-        tag, attr = {
-            "nav": (r.choice(("nav", "div", "ul")), r.choice(('class="menu"', 'id="navigation"', 'class="navbar top"'))), "header": (r.choice(("header", "div")), 'class="header masthead"'),
-            "footer": (r.choice(("footer", "div")), r.choice(('class="footer"', 'id="site-footer"'))), "aside": (r.choice(("aside", "div")), r.choice(('class="sidebar"', 'class="related"', 'id="widget"'))),
-            "ad": ("div", r.choice(('class="ad"', 'class="advert"', 'id="sponsored"', 'class="promo"'))), "notice": (r.choice(("div", "section")), r.choice(('class="cookie-notice"', 'id="consent"', 'class="newsletter modal"'))),
-            "comment": (r.choice(("section", "div")), r.choice(('class="comments"', 'id="comments"', 'class="comment-list"'))), "social": ("div", r.choice(('class="share"', 'class="social-links"'))), "form": ("form", 'action="/go"'),
-        }[kind]
-        bare = tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.5
-        if kind in ("nav", "social"):
+    el = lambda tag, y, inner, attr="": f'<{tag} {attr} data-gold="{y}">{inner}</{tag}>'
+    menu = lambda k: el("ul", 0, "".join(el("li", 0, f'<a href="/{word()}">{words(1, 3)}</a>') for _ in range(k)))
+
+    def para() -> str:
+        text = " ".join(sentence() for _ in range(r.choice((1, 1, 2, 4, 6))))
+        if r.random() < 0.1:
+            text += el("span", 0, words(1, 3), r.choice(('class="ad"', 'class="share"', 'class="comment-count"')))
+        elif r.random() < 0.1:
+            text = el("span", 1, words(2, 6), r.choice(('class="text"', 'class="story-lead"'))) + " " + text
+        return el("p", 1, text)
+
+    names = {  # element and attribute, by kind
+        "nav": ("nav div ul", 'class="menu"|id="navigation"|class="navbar top"'), "header": ("header div", 'class="header masthead"|class="site-header"'), "footer": ("footer div", 'class="footer"|id="site-footer"'),
+        "aside": ("aside div", 'class="sidebar"|class="related"|id="widget"'), "ad": ("div", 'class="ad"|class="advert"|id="sponsored"|class="promo"'), "notice": ("div section", 'class="cookie-notice"|id="consent"|class="newsletter modal"'),
+        "comment": ("section div", 'class="comments"|id="comments"|class="comment-list"'), "social": ("div", 'class="share"|class="social-links"'), "form": ("form", 'action="/go"'),
+    }
+
+    def clutter(kind: str, plain: bool) -> str:
+        tags, attrs = names[kind]
+        tag, attr = r.choice(tags.split()), r.choice(attrs.split("|"))
+        if plain:
+            tag, attr = "div" if kind != "form" else "form", r.choice(("", f'class="{word()}"'))
+        elif tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.5:
+            attr = ""
+        if kind in ("nav", "social") or plain and kind in ("comment", "notice", "ad", "aside"):
             inner = menu(r.randint(2, 7))
         elif kind == "comment":
-            inner = "".join(f'<div class="comment" data-gold="0"><p data-gold="0">{" ".join(sentence() for _ in range(r.randint(1, 4)))}</p></div>' for _ in range(r.randint(1, 4)))
+            inner = "".join(el(r.choice(("div", "div", "article")), 0, el("p", 0, " ".join(sentence() for _ in range(r.randint(1, 4)))), 'class="comment"') for _ in range(r.randint(1, 4)))
         elif kind == "form":
-            inner = f'<label>{words(1, 3)}</label><input name="q"><button data-gold="0">{word()}</button>'
+            inner = f'<label>{words(1, 3)}</label><input name="q">' + el("button", 0, word())
+        elif kind == "aside" and r.random() < 0.4:
+            inner = el("h3", 0, words(1, 3)) + "".join(el("article", 0, el("h4", 0, f'<a href="#">{words(3, 8)}</a>') + el("p", 0, f'<a href="#">{sentence()}</a>')) for _ in range(r.randint(1, 3)))
         else:
-            body = sentence() if r.random() < 0.7 else words(2, 9)
-            inner = r.choice((body, f'<p data-gold="0">{body}</p>', f'<h3 data-gold="0">{words(1, 3)}</h3><p data-gold="0">{body} <a href="#">{word()}</a></p>', f'<div data-gold="0">{body} {sentence()}</div>'))
-        return f'<{tag} {"" if bare else attr} data-gold="0">{inner}</{tag}>'
+            body = sentence() if r.random() < 0.7 and not plain else words(2, 5)
+            inner = r.choice((body, el("p", 0, body), el("h3", 0, words(1, 3)) + el("p", 0, f'{body} <a href="#">{word()}</a>'), el("div", 0, f"{body} {sentence()}" if not plain else body)))
+        return el(tag, 0, inner, attr)
 
     out = []
     for i in range(n):
-        blocks = [f'<h1 data-gold="1">{words(3, 9)}</h1>'] + [para() for _ in range(r.randint(2, 8))]
+        layout = ("usual", "usual", "form", "tables", "plain", "usual")[i % 6]
+        plain = layout == "plain"
+        blocks = [el("h1", 1, words(3, 9))] + [para() for _ in range(r.randint(2, 8))]
         if r.random() < 0.5:
-            blocks.insert(r.randint(2, len(blocks)), f'<h2 data-gold="1">{words(2, 6)}</h2>')
+            blocks.insert(r.randint(2, len(blocks)), el("h2", 1, words(2, 6)))
         if r.random() < 0.4:
-            blocks.insert(r.randint(1, len(blocks)), '<ul data-gold="1">' + "".join(f'<li data-gold="1">{r.choice((words(2, 5), sentence()))}</li>' for _ in range(r.randint(2, 5))) + "</ul>")
+            blocks.insert(r.randint(1, len(blocks)), el("ul", 1, "".join(el("li", 1, r.choice((words(2, 5), sentence()))) for _ in range(r.randint(2, 5)))))
         if r.random() < 0.3:
-            blocks.insert(r.randint(1, len(blocks)), f'<blockquote data-gold="1"><p data-gold="1">{sentence()}</p></blockquote>')
+            blocks.insert(r.randint(1, len(blocks)), el("blockquote", 1, el("p", 1, sentence())))
         if r.random() < 0.3:
-            blocks.insert(r.randint(1, len(blocks)), f'<table data-gold="1"><tr data-gold="1"><td data-gold="1">{words(1, 3)}</td><td data-gold="1">{sentence()}</td></tr></table>')
+            blocks.insert(r.randint(1, len(blocks)), el("table", 1, el("tr", 1, el("td", 1, words(1, 3)) + el("td", 1, sentence()))))
         if r.random() < 0.3:
-            blocks.insert(r.randint(1, len(blocks)), f'<p data-gold="1">{words(1, 4)}</p>')
-        for kind in r.sample(("ad", "aside", "social", "comment", "form", "notice"), r.randint(0, 3)):
-            blocks.insert(r.randint(1, len(blocks)), clutter(kind))
+            blocks.insert(r.randint(1, len(blocks)), el("p", 1, words(1, 4)))
+        for kind in r.sample(("ad", "aside", "social", "comment", "form", "notice"), r.randint(0, 3)) if not plain else ():
+            blocks.insert(r.randint(1, len(blocks)), clutter(kind, plain))
         body = "".join(blocks)
-        wrap = r.choice(("article", "article", "article", "main", "div content", "div post", "div", "main article"))
+        wrap = r.choice(("article", "article", "article", "main", "div content", "div post", "div", "main article")) if not plain else r.choice(("div", "section", "div div"))
         for part in reversed(wrap.split()):
-            body = f'<{part} data-gold="1">{body}</{part}>' if part in ("article", "main", "div") else body
+            body = el(part, 1, body) if part in ("article", "main", "div", "section") else body
         if "content" in wrap or "post" in wrap:
             body = body.replace("<div", f'<div class="{wrap.split()[1]}"', 1)
-        before = "".join(clutter(k) for k in r.sample(("nav", "header", "ad", "notice", "form"), r.randint(1, 4)))
-        after = "".join(clutter(k) for k in r.sample(("footer", "comment", "aside", "ad", "nav", "notice", "social"), r.randint(1, 4)))
-        out.append(f'<!DOCTYPE html><html data-gold="1"><head data-gold="0"><title>{words(2, 6)}</title></head><body data-gold="1">{before}{body}{after}</body></html>')
+        before = "".join(clutter(k, plain) for k in r.sample(("nav", "header", "ad", "notice", "form"), r.randint(1, 4)))
+        after = "".join(clutter(k, plain) for k in r.sample(("footer", "comment", "aside", "ad", "nav", "notice", "social"), r.randint(1, 4)))
+        if layout == "tables":
+            cells = el("td", 0, menu(r.randint(3, 8))) + el("td", 1, body) + (el("td", 0, el("p", 0, words(1, 6))) if r.random() < 0.5 else "")
+            page = el("table", 1, el("tr", 0, el("td", 0, before, 'colspan="3"')) + el("tr", 1, cells) + el("tr", 0, el("td", 0, after, 'colspan="3"')))
+        else:
+            page = f"{before}{body}{after}"
+        if layout == "form":
+            page = el("form", 1, page, 'method="post" action="/page"')
+        if r.random() < 0.25:
+            page = page.replace("</p>", "").replace("</li>", "").replace("</td>", "").replace("</tr>", "")
+        out.append(f'<!DOCTYPE html><html data-gold="1"><head data-gold="0"><title>{words(2, 6)}</title></head><body data-gold="1">{page}</body></html>')
     return out
 
 
@@ -330,8 +386,8 @@ def weights(rounds: int = 80, rate: float = 0.5, ridge: float = 0.02) -> tuple[l
     return w, pair
 
 
-#: Their text is no text of a page, whatever their place.
-NEVER = frozenset("script style title noscript template svg head form button select option textarea nav footer aside iframe xmp noembed noframes".split())
+#: Elements whose content isn't shown as text. All others are judged by their marginals.
+NEVER = frozenset("script style title noscript template svg head textarea select option iframe xmp noembed noframes".split())
 
 
 def main_text(page: str, model: tuple[list[float], list[float]]) -> str:
@@ -340,10 +396,11 @@ def main_text(page: str, model: tuple[list[float], list[float]]) -> str:
         return ""
     describe(nodes, blocks)
     at, _ = marginals(nodes, *model)
-    barred = [False] * len(nodes)
+    kept = [True] * len(nodes)
     for k, x in enumerate(nodes):
-        barred[k] = x.tag in NEVER or x.hidden or x.parent >= 0 and barred[x.parent]
-    return " ".join(text for k, text in blocks if at[k] > 0.5 and not barred[k])
+        kept[k] = not (x.tag in NEVER or x.hidden) and (x.parent < 0 or kept[x.parent])
+    texts = (joined([(k, t) for k, t in parts if kept[k] and at[k] > 0.5]) for parts in blocks)
+    return " ".join(t for t in texts if t)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
