@@ -110,11 +110,12 @@ SHEET = {"AVERAGE": "avg", "CONCATENATE": "concat", "LEN": "length", "MID": "sub
 WHOLE = {"avg", "sum", "count", "min", "max"}
 
 
-def formula(text: str) -> Column:
-    """A spreadsheet formula: = for equality, <> for inequality, & to concatenate, IF(), and SUM(x) and the like over a whole
-    column. Aggregates of several arguments are taken within the row."""
+def formula(text: str) -> tuple[Column, dict[str, str]]:
+    """A spreadsheet formula, and the aggregates over all rows that it reads as columns, by their names there: SUM(x) and the like
+    of one argument. Aggregates of several arguments are taken within the row. = is equality, <> inequality, & concatenates."""
     toks = tokens(text.strip().removeprefix("="))
     pos = 0
+    wholes: dict[str, str] = {}
 
     def peek() -> str:
         return toks[pos][1] if pos < len(toks) else ""
@@ -198,11 +199,13 @@ def formula(text: str) -> Column:
             return "(" + f" {f[2:]} ".join(args) + ")"
         if f in WHOLE:
             if len(args) == 1:
-                return f"{f}({args[0]}) OVER ()"
+                name = f"__ord_whole{len(wholes)}"
+                wholes[name] = f"{f}({args[0]})"
+                return f"`{name}`"
             return {"sum": f"({' + '.join(args)})", "avg": f"({' + '.join(args)}) / {len(args)}", "min": f"least({', '.join(args)})", "max": f"greatest({', '.join(args)})", "count": "(" + " + ".join(f"int({a} is not null)" for a in args) + ")"}[f]
         return f"{f}({', '.join(args)})"
 
     out = compare()
     if pos != len(toks):
         raise ValueError(f"formula goes on after its end: {text!r}")
-    return F.expr(out)
+    return F.expr(out), wholes

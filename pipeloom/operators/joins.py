@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from pipeloom.functions.expr import interval_us
@@ -14,12 +14,9 @@ from pipeloom.operators.times import micros
 from pipeloom.plans.frame import HIDDEN, Frame
 from pipeloom.plans.ranges import carried, has_hot_key
 
-_cache: dict[tuple, tuple[float, DataFrame]] = {}
-
-
 def right_side(cfg: dict, ctx) -> Frame:
     """The dataset's rows that where keeps, at most limit of them, in the dataset's order."""
-    key = (id(ctx.datasets), cfg["dataset"], repr(cfg.get("where")), cfg.get("limit"))
+    key = (cfg["dataset"], repr(cfg.get("where")), cfg.get("limit"), repr(ctx.scope))
     ttl = cfg.get("cacheTtlMs") or 0
     f = ctx.dataset(cfg["dataset"])
     if cfg.get("where"):
@@ -27,13 +24,13 @@ def right_side(cfg: dict, ctx) -> Frame:
     if cfg.get("limit") is not None:
         f = f.with_df(f.sorted().limit(cfg["limit"]))
     if ttl:
-        kept = _cache.get(key)
+        kept = ctx.lookups.get(key)
         if kept and kept[0] > time.monotonic():
             return f.with_df(kept[1])
         if kept:
             kept[1].unpersist()
         f = f.with_df(f.df.persist())
-        _cache[key] = (time.monotonic() + ttl / 1000, f.df)
+        ctx.lookups[key] = (time.monotonic() + ttl / 1000, f.df)
     return f
 
 

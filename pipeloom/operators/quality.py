@@ -131,9 +131,12 @@ def sample(f: Frame, cfg: dict, ctx) -> Frame:
     seed = int(cfg.get("seed") or 0)
     keys = [F.col(f"`{k}`") for k, _ in f.order] or [F.col(f"`{c}`") for c in f.columns]
     if method == "random":
-        draw = F.xxhash64(F.lit(seed), *keys)
-        df = f.df.withColumn(f"{HIDDEN}h", draw).orderBy(f"{HIDDEN}h", *f.sort_keys()).limit(target).drop(f"{HIDDEN}h")
-        return f.with_df(df)
+        h = f"{HIDDEN}h"
+        drawn = f.df.withColumn(h, F.xxhash64(F.lit(seed), *keys))
+        if ratio is None:
+            return f.with_df(drawn.orderBy(h, *f.sort_keys()).limit(target).drop(h))
+        df, i = numbered(Frame(drawn, ((h, True), *f.order)))  # a share of all rows is too many for one task
+        return f.with_df(df.filter(F.col(i) < target).drop(i, h))
     if method == "systematic":
         step = max(1, total // max(1, target))
         df, i = numbered(f)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +12,18 @@ from pipeloom.operators.registry import QueryError, cols, known, register
 from pipeloom.plans.frame import HIDDEN, Frame, _next
 
 
+#: Columns that a pass over the data may find; the plan of a wider table would be of no use.
+MOST_FOUND = 10_000
+
+
+def found(names: DataFrame, what: str) -> list:
+    """The rows of a short list; a list of over MOST_FOUND is refused before it comes to the driver."""
+    rows = names.limit(MOST_FOUND + 1).collect()
+    if len(rows) > MOST_FOUND:
+        raise QueryError(f"{what}: over {MOST_FOUND} columns; name those wanted")
+    return rows
+
+
 @register("flatten")
 def flatten(f: Frame, cfg: dict, ctx) -> Frame:
     name, into, index, keep = cfg["field"], cfg.get("as") or cfg["field"], cfg.get("indexAs"), bool(cfg.get("preserveEmpty"))
@@ -42,7 +55,7 @@ def unnest_object(f: Frame, cfg: dict, ctx) -> Frame:
             parsed = F.from_json(c, schema)
             made = {k: parsed.getField(k) for k in f.df.select(parsed.alias("x")).schema["x"].dataType.names}
         elif isinstance(kind, T.MapType):
-            keys = cfg.get("keys") or [r[0] for r in f.df.select(F.explode(F.map_keys(c)).alias("k")).distinct().orderBy("k").collect()]
+            keys = cfg.get("keys") or sorted(r[0] for r in found(f.df.select(F.explode(F.map_keys(c)).alias("k")).distinct(), "unnestObject"))
             made = {k: F.try_element_at(c, F.lit(k)) for k in keys}
         else:
             raise QueryError(f"unnestObject: {name!r} is no object")
@@ -58,8 +71,10 @@ def _json_schema(f: Frame, name: str, keys: list[str] | None) -> T.StructType:
     """Fields of JSON texts with their widest type: names and kinds are counted in one aggregate."""
     pairs = f.df.select(F.explode(F.from_json(F.col(f"`{name}`"), "map<string,string>")).alias("k", "v"))
     kinds = pairs.groupBy("k").agg(F.bool_and(F.col("v").rlike(r"^-?\d{1,18}$")).alias("i"), F.bool_and(F.col("v").try_cast("double").isNotNull()).alias("d"), F.bool_and(F.col("v").isin("true", "false")).alias("b"))
-    found = {r["k"]: "bigint" if r["i"] else "double" if r["d"] else "boolean" if r["b"] else "string" for r in kinds.collect()}
-    return T.StructType([T.StructField(k, {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}[found.get(k, "string")]) for k in (keys or sorted(found))])
+    if keys:
+        kinds = kinds.where(F.col("k").isin(*keys))
+    kind_of = {r["k"]: "bigint" if r["i"] else "double" if r["d"] else "boolean" if r["b"] else "string" for r in found(kinds, "unnestObject")}
+    return T.StructType([T.StructField(k, {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}[kind_of.get(k, "string")]) for k in (keys or sorted(kind_of))])
 
 
 @register("nest")
@@ -78,7 +93,7 @@ def pivot(f: Frame, cfg: dict, ctx) -> Frame:
     """Cells without a source row get fillValue; those whose rows aggregate to null stay null. `values` saves the pass that finds
     the names of the new columns."""
     keys, column_key, value, how, prefix = cfg.get("rowKeys") or [], cfg["columnKey"], cfg["valueField"], (cfg.get("aggregate") or "first").upper(), cfg.get("prefix") or ""
-    names = [str(v) for v in cfg["values"]] if cfg.get("values") else sorted(r[0] for r in f.df.select(F.coalesce(known(f, column_key).cast("string"), F.lit("null"))).distinct().collect())
+    names = [str(v) for v in cfg["values"]] if cfg.get("values") else sorted(r[0] for r in found(f.df.select(F.coalesce(known(f, column_key).cast("string"), F.lit("null"))).distinct(), "pivot"))
     agg = column_of(f.df, {"fn": how, "field": value, "as": "v"}, f.order_columns())
     cells = f.df.withColumn(f"{HIDDEN}c", F.coalesce(known(f, column_key).cast("string"), F.lit("null")))
     wide = cells.groupBy(*cols(f, keys)).pivot(f"{HIDDEN}c", names).agg(agg, F.count(F.lit(1)).alias("n"))

@@ -33,12 +33,15 @@ def whole(n, what: str) -> int:
 
 @register("limit")
 def limit(f: Frame, cfg: dict, ctx) -> Frame:
-    return f.with_df(f.sorted().limit(whole(cfg["n"], "limit: n")))
+    n = whole(cfg["n"], "limit: n")
+    return f.with_df(f.df.limit(n) if ctx.skipped is f.df else f.sorted().limit(n))  # what skip left is sorted already
 
 
 @register("skip")
 def skip(f: Frame, cfg: dict, ctx) -> Frame:
-    return offset(f, whole(cfg["n"], "skip: n"), ctx.following == "limit")
+    out = offset(f, whole(cfg["n"], "skip: n"), ctx.following == "limit")
+    ctx.skipped = out.df if ctx.following == "limit" and not f.df.isStreaming else None
+    return out
 
 
 def offset(f: Frame, n: int, limited: bool) -> Frame:

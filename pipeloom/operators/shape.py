@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pipeloom.functions.expr import column, formula
@@ -61,7 +62,23 @@ def compute(f: Frame, cfg: dict, ctx) -> Frame:
     kind = cfg.get("kind") or "expr"
     if kind not in ("expr", "formula"):
         raise QueryError(f"compute: unknown kind {kind!r}")
-    return f.set_column(cfg["as"], column(cfg["expr"]) if kind == "expr" else formula(cfg["formula"]))
+    if kind == "expr":
+        return f.set_column(cfg["as"], column(cfg["expr"]))
+    value, wholes = formula(cfg["formula"])
+    waiting: dict[str, Column] = {}
+    for n, sql in wholes.items():
+        if any(f"`{w}`" in sql for w in waiting):  # an aggregate within another
+            f, waiting = with_row(f, waiting), {}
+        waiting[n] = F.expr(sql)
+    f = with_row(f, waiting).set_column(cfg["as"], value)
+    return f.with_df(f.df.drop(*wholes))
+
+
+def with_row(f: Frame, aggregates: dict[str, Column]) -> Frame:
+    """f with a column for each aggregate over all its rows: one row, broadcast, where a window would gather all rows in one task."""
+    if not aggregates:
+        return f
+    return f.with_df(f.df.crossJoin(F.broadcast(f.df.agg(*(c.alias(n) for n, c in aggregates.items())))))
 
 
 @register("transform")

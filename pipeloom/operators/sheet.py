@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipeloom.functions.expr import column, references, translate
+from pipeloom.functions.expr import column, references, tokens, translate
 from pipeloom.operators.registry import QueryError, register
-from pipeloom.plans.frame import Frame
+from pipeloom.plans.frame import HIDDEN, Frame
 
 
 def ordered(formulas: list[dict]) -> list[dict]:
@@ -41,15 +43,18 @@ def reduced(text: str, ctx) -> str:
     parts = text.split()
     if len(parts) == 2 and parts[1] in ("sum", "avg", "min", "max", "count") and "(" not in text:
         text = f"{parts[1]}({parts[0]})"
-    for name, sql in ctx.reduces.items():
-        text = text.replace(f"{name}(", f"{sql}(")
-    return text
+    toks = tokens(text)
+    return " ".join(ctx.reduces.get(v, v) if kind == "name" and toks[i + 1 : i + 2] == [("op", "(")] else v for i, (kind, v) in enumerate(toks))
 
 
 @register("sheet")
 def sheet(f: Frame, cfg: dict, ctx) -> Frame:
     """Row formulas become columns. Each run of whole-column reduces is one aggregate, whose single row is broadcast back, so that
-    no window gathers all rows in one task. onError null evaluates without ANSI errors."""
+    no window gathers all rows in one task.
+
+    onError null makes errors nulls. A cell counts as failed if it is null though all columns that its formula reads have values;
+    the result's errors tell their number and some of them.
+    """
     formulas, on_error = ordered(cfg["formulas"]), cfg.get("onError") or "fail"
     if on_error not in ("fail", "null"):
         raise QueryError(f"sheet: unknown onError {on_error!r}")
@@ -63,6 +68,7 @@ def sheet(f: Frame, cfg: dict, ctx) -> Frame:
         conf.set(key, "false")
     try:
         waiting: list[dict] = []
+        flags: dict[str, str] = {}  # formula -> hidden column
 
         def flush(f: Frame) -> Frame:
             if not waiting:
@@ -82,7 +88,16 @@ def sheet(f: Frame, cfg: dict, ctx) -> Frame:
             if x.get("reduce"):
                 waiting.append(x)
             else:
-                f = f.set_column(x["as"], column(text))
-        return flush(f)
+                read = [f"`{r}`" if r in f.df.columns else r for r in references(text)]
+                value = column(text)
+                if on_error == "null":
+                    flags[x["as"]] = flag = f"{HIDDEN}failed{len(flags)}"
+                    f = f.with_df(f.df.withColumn(flag, reduce(Column.__and__, (F.col(r).isNotNull() for r in read), value.isNull())))
+                f = f.set_column(x["as"], value)
+        f = flush(f)
+        if flags:
+            ctx.sheets.append((list(flags), f, list(flags.values())))
+            f = f.with_df(f.df.drop(*flags.values()))
+        return f
     finally:
         conf.set(key, ansi)

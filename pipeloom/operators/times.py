@@ -11,6 +11,7 @@ from pipeloom.functions.where import literal
 from pipeloom.operators.quality import casted
 from pipeloom.operators.registry import QueryError, cols, known, register
 from pipeloom.plans.frame import HIDDEN, Frame
+from pipeloom.plans.ranges import carried
 
 
 def micros(f: Frame, name: str) -> Column:
@@ -63,22 +64,36 @@ def gapfill(f: Frame, cfg: dict, ctx) -> Frame:
     cols(f, keys)
     kind, t, s, g = f.df.schema[field].dataType, f"{HIDDEN}us", f"{HIDDEN}slot", f"{HIDDEN}real"
     rows = f.df.withColumn(t, micros(f, field)).filter(F.col(t).isNotNull())
-    lo = instant(cfg["from"]) if cfg.get("from") else F.col("lo")
-    hi = instant(cfg["to"]) if cfg.get("to") else F.col("hi")
-    ends = rows.groupBy(*keys).agg(F.min(t).alias("lo"), F.max(t).alias("hi")).select(*keys, lo.alias("_lo"), hi.alias("_hi"))
-    grid = ends.filter("_hi >= _lo").select(*keys, "_lo", F.explode(F.sequence("_lo", "_hi", F.lit(width))).alias(s))
+    begin, end = f"{HIDDEN}begin", f"{HIDDEN}end"
+    lo = instant(cfg["from"]) if cfg.get("from") else F.col(f"{HIDDEN}lo")
+    hi = instant(cfg["to"]) if cfg.get("to") else F.col(f"{HIDDEN}hi")
+    ends = rows.groupBy(*keys).agg(F.min(t).alias(f"{HIDDEN}lo"), F.max(t).alias(f"{HIDDEN}hi")).select(*keys, lo.alias(begin), hi.alias(end))
+    if keys:
+        grid = ends.filter(F.col(end) >= F.col(begin)).select(*keys, begin, F.explode(F.sequence(begin, end, F.lit(width))).alias(s))
+    else:  # one group: its slots are a range over many tasks
+        one = ends.first()
+        slots = (one[end] - one[begin]) // width + 1 if one[begin] is not None and one[end] is not None else 0
+        grid = f.df.sparkSession.range(max(0, slots)).select((F.col("id") * width + F.lit(one[begin] or 0)).alias(s))
     null_safe = lambda a, b: [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys]
     on = null_safe("r", "e")
     joined = rows.alias("r").join(F.broadcast(ends.alias("e")) if not keys else ends.alias("e"), on or F.lit(True))
-    nearest = F.col("_lo") + F.floor((F.col(t) - F.col("_lo") + F.lit(width / 2)) / width) * width
-    first_half = F.pmod(F.col(t) - F.col("_lo"), F.lit(width)) < width / 2
-    held = joined.filter((F.col(t) >= F.col("_lo")) & (F.col(t) <= F.col("_hi")) & first_half).withColumn(s, nearest.cast("bigint")).select("r.*", s)
+    nearest = F.col(begin) + F.floor((F.col(t) - F.col(begin) + F.lit(width / 2)) / width) * width
+    first_half = F.pmod(F.col(t) - F.col(begin), F.lit(width)) < width / 2
+    held = joined.filter((F.col(t) >= F.col(begin)) & (F.col(t) <= F.col(end)) & first_half).withColumn(s, nearest.cast("bigint")).select("r.*", s)
     w = Window.partitionBy(*keys, s).orderBy(t, *f.sort_keys())
     held = held.withColumn(f"{HIDDEN}rn", F.row_number().over(w)).filter(F.col(f"{HIDDEN}rn") == 1).drop(f"{HIDDEN}rn").withColumn(g, F.lit(True))
     out = grid.alias("g").join(held.alias("h"), [*null_safe("g", "h"), F.col(f"g.{s}") == F.col(f"h.{s}")], "left")
     real = F.coalesce(F.col(f"h.{g}"), F.lit(False))
     up_to = Window.partitionBy(*(F.col(f"g.`{k}`") for k in keys)).orderBy(F.col(f"g.{s}")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.max(real).over(up_to)
+    held_over: dict[str, Column] = {}  # hidden columns that go on until the next one that isn't null
+
+    def going_on(value: Column) -> Column:
+        if keys:
+            return F.last(value, ignorenulls=True).over(up_to)
+        held_over[name := f"{HIDDEN}on{len(held_over)}"] = value
+        return F.col(name)
+
+    seen = F.coalesce(going_on(F.when(real, F.lit(True))), F.lit(False)) if method in ("zero", "value") else None
     carry, picked = set(cfg.get("carry") or []), []
     for c in f.columns:
         v, ctype = F.col(f"h.`{c}`"), f.df.schema[c].dataType
@@ -87,7 +102,7 @@ def gapfill(f: Frame, cfg: dict, ctx) -> Frame:
         elif c == field:
             picked.append(F.when(real, v).otherwise(back(F.col(f"g.{s}"), kind).cast(ctype)).alias(c))
         elif method == "lastValue":
-            old = F.last(F.when(real, F.struct(v.alias("v"))), ignorenulls=True).over(up_to)["v"]
+            old = going_on(F.when(real, F.struct(v.alias("v"))))["v"]
             picked.append((F.when(real, v).otherwise(old) if not carry or c in carry else v).alias(c))
         elif method in ("zero", "value"):
             value = 0 if method == "zero" else cfg.get("value")
@@ -97,4 +112,11 @@ def gapfill(f: Frame, cfg: dict, ctx) -> Frame:
         else:
             picked.append(v.alias(c))
     order = f"{HIDDEN}slot_order"
+    if held_over:
+        # out's columns come from two sides; carried works on plain ones
+        flat = {c: f"{HIDDEN}h{i}" for i, c in enumerate(f.columns)}
+        plain = out.select(F.col(f"g.{s}").alias(s), real.alias(g), *(F.col(f"h.`{c}`").alias(n) for c, n in flat.items()), *(v.alias(n) for n, v in held_over.items()))
+        both = carried(plain, [(F.col(s), True)], list(held_over))
+        sides = both.select(F.struct(s).alias("g"), F.struct(F.col(g), *(F.col(n).alias(c) for c, n in flat.items())).alias("h"), *held_over)
+        return Frame(sides.select(*picked, F.col(f"g.{s}").alias(order)), ((order, True),))
     return Frame(out.select(*picked, F.col(f"g.{s}").alias(order)), (*((k, True) for k in keys), (order, True)))

@@ -68,6 +68,18 @@ class Context:
     #: The operator that consumes the present stage, if only the next stage does.
     following: str | None = None
     taps: dict[str, Any] = field(default_factory=dict)
+    #: Right sides of joins that are kept for their cacheTtlMs: (time of expiry, persisted frame).
+    lookups: dict[tuple, tuple[float, DataFrame]] = field(default_factory=dict)
+    #: Sheets whose errors became nulls: the formulas, their rows, and the column that flags each formula's failed cells.
+    sheets: list[tuple[list[str], Frame, list[str]]] = field(default_factory=list)
+    #: What skip has left of a sorted frame, for the limit that follows.
+    skipped: DataFrame | None = None
+
+    def release(self) -> None:
+        """Frees the rows kept for lookups."""
+        for _, df in self.lookups.values():
+            df.unpersist()
+        self.lookups.clear()
 
     def function(self, name: str) -> Callable_:
         for n in (name, name.rsplit("::", 1)[-1]):

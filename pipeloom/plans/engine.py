@@ -36,6 +36,7 @@ class Result:
     stages: list[dict[str, Any]] = field(default_factory=list)
     observed: list[Observation | None] = field(default_factory=list)
     taps: dict[str, Observation] = field(default_factory=dict)
+    sheets: list[tuple[list[str], Frame, list[str]]] = field(default_factory=list)
     ms: int | None = None
 
     @property
@@ -89,6 +90,20 @@ class Result:
         pipe = [{"index": i, "op": s["op"], **({"id": s["id"]} if s.get("id") else {}), **({"label": s["label"]} if s.get("label") else {}), "rowsIn": counts[i], "rowsOut": counts[i + 1]} for i, s in enumerate(self.stages)]
         return {"executionMs": self.ms, "sourcesQueried": [self.source], **({"pipe": pipe} if pipe else {})}
 
+    def errors(self, samples: int = 100) -> dict[str, Any]:
+        """Cells that sheets made null for an error: total, by_formula, and at most `samples` of them, each with its formula, its
+        row's place in order among the failed and the row's own values. Counts are one aggregate a sheet."""
+        total, by_formula, some = 0, {}, []
+        for names, f, flags in self.sheets:
+            counts = f.df.agg(*(F.count_if(F.col(x)).alias(x) for x in flags)).first()
+            for n, x in zip(names, flags, strict=True):
+                total += counts[x]
+                by_formula[n] = by_formula.get(n, 0) + counts[x]
+                if counts[x] and len(some) < samples:
+                    rows = f.with_df(f.df.filter(x)).sorted().limit(samples - len(some)).select(*(F.col(f"`{c}`") for c in f.columns)).collect()
+                    some += [{"formula": n, "place": i, "row": r.asDict(recursive=True), "message": f"{n} has no value"} for i, r in enumerate(rows)]
+        return {"total": total, "by_formula": by_formula, "samples": some}
+
     def to_json(self) -> DataFrame:
         return self.df.select(F.to_json(F.struct("*")).alias("value"))
 
@@ -100,20 +115,31 @@ class Engine:
 
     def execute(self, doc: str | dict[str, Any], parameters: dict[str, Any] | None = None, on: DataFrame | None = None, scope: list | None = None, page: bool = False) -> Result:
         """on: rows to use instead of the source's. page: apply the default and greatest limits of a classic query."""
+        q, ctx = self.bound(doc, parameters, on), self.running(scope)
+        start = None if on is None else self.start(q, ctx, on)
+        return self._pipe(q, ctx, start) if parse.is_pipe(q) else self._classic(q, ctx, start, page)
+
+    def bound(self, doc: str | dict[str, Any], parameters: dict[str, Any] | None = None, on: DataFrame | None = None) -> dict[str, Any]:
+        """The document, validated, with its parameters' values."""
         q = parse.load(doc)
         errors = parse.validate(q, needs_source=on is None)
         if errors:
             raise QueryError("; ".join(errors))
-        q = parse.bind(q, {**(q.get("parameters") or {}), **(parameters or {})})
-        ctx = Context(**{**vars(self.context), **({"scope": scope} if scope is not None else {}), "group_keys": None, "taps": {}})
-        start = None
-        if on is not None:
-            start = Frame(on.withColumn("__ord_read", F.monotonically_increasing_id()), (("__ord_read", True),)) if not on.isStreaming else Frame(on)
-        return self._pipe(q, ctx, start) if parse.is_pipe(q) else self._classic(q, ctx, start, page)
+        return parse.bind(q, {**(q.get("parameters") or {}), **(parameters or {})})
+
+    def running(self, scope: list | None = None) -> Context:
+        """The context with a state of its own for one run."""
+        return Context(**{**vars(self.context), **({"scope": scope} if scope is not None else {}), "group_keys": None, "taps": {}, "sheets": [], "skipped": None})
+
+    def start(self, q: dict[str, Any], ctx: Context, on: DataFrame | None = None) -> Frame:
+        """The rows that a pipe begins with."""
+        if on is None:
+            return ctx.dataset(classic.source(q), any(mentions_version(s.get("where")) for s in q.get("pipe") or []))
+        return Frame(on.withColumn("__ord_read", F.monotonically_increasing_id()), (("__ord_read", True),)) if not on.isStreaming else Frame(on)
 
     def _pipe(self, q: dict[str, Any], ctx: Context, start: Frame | None) -> Result:
         stages, seen = q.get("pipe") or [], []
-        f = start or ctx.dataset(classic.source(q), any(mentions_version(s.get("where")) for s in stages))
+        f = start or self.start(q, ctx)
         observe = self.observe and not q.get("omit_pipe_stats") and not f.df.isStreaming
 
         def counted(f: Frame) -> tuple[Frame, Observation | None]:
@@ -142,7 +168,7 @@ class Engine:
         f = expand(f, q, ctx)
         made = {s["as"] for s in stages if s.get("as")} | {c["as"] for s in stages for c in (s.get("compute") or []) + (s.get("formulas") or [])}
         aggregated = {a.get("as") or a["fn"].lower() for s in stages if s["op"] == "aggregate" for a in s["aggs"]}
-        return Result(f, classic.source(q), frozenset(made), frozenset(aggregated), stages=stages, observed=seen, taps=ctx.taps)
+        return Result(f, classic.source(q), frozenset(made), frozenset(aggregated), stages=stages, observed=seen, taps=ctx.taps, sheets=ctx.sheets)
 
     def _classic(self, q: dict[str, Any], ctx: Context, start: Frame | None, page: bool) -> Result:
         size = None

@@ -15,12 +15,12 @@ def config(stage: dict[str, Any]) -> dict[str, Any]:
     return {k: v for k, v in stage.items() if k not in META}
 
 
-def run_stages(frame: Frame, stages: list[dict[str, Any]], ctx, seen=None) -> Frame:
-    """seen: called with (index, stage, frame) after each stage. A stage that two others consume is planned twice, and read
+def run_stages(frame: Frame, stages: list[dict[str, Any]], ctx, seen=None, named: dict[str, Frame] | None = None) -> Frame:
+    """seen: called with (index, stage, frame) after each stage. named: earlier stages that `from` may name. A stage that two others consume is planned twice, and read
     once where Spark finds the common exchange."""
     if len(stages) > ctx.max_stages:
         raise QueryError(f"a pipe has at most {ctx.max_stages} stages, not {len(stages)}")
-    named: dict[str, Frame] = {}
+    named = {} if named is None else named
     for i, stage in enumerate(stages):
         op = stage.get("op")
         if op not in OPERATORS:

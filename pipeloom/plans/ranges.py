@@ -15,6 +15,9 @@ from pipeloom.plans.frame import HIDDEN, Frame, _next
 from pipeloom.sources.scratch import written
 
 
+SUM = f"{HIDDEN}sum"
+
+
 def hidden(what: str) -> str:
     return f"{HIDDEN}{what}{next(_next)}"
 
@@ -26,9 +29,9 @@ def ranged(df: DataFrame, keys: list[Column]) -> tuple[DataFrame, str]:
 
 
 def before(df: DataFrame, p: str, value: Column) -> DataFrame:
-    """Per part, the sum of `value`, an aggregate, over all earlier parts: columns p and x."""
+    """Per part, the sum of `value`, an aggregate, over all earlier parts: columns p and SUM."""
     by_part = df.groupBy(p).agg(value.alias("v"))
-    return by_part.select(p, F.coalesce(F.sum("v").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("x"))
+    return by_part.select(p, F.coalesce(F.sum("v").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(SUM))
 
 
 def numbered(f: Frame) -> tuple[DataFrame, str]:
@@ -37,7 +40,7 @@ def numbered(f: Frame) -> tuple[DataFrame, str]:
     df, p = ranged(f.df, keys)
     w = Window.partitionBy(p).orderBy(*(keys or [F.lit(0)]))
     df = df.withColumn(i, F.row_number().over(w))
-    return df.join(before(df, p, F.max(i)), p).withColumn(i, (F.col(i) + F.col("x") - 1).cast("bigint")).drop(p, "x"), i
+    return df.join(before(df, p, F.max(i)), p).withColumn(i, (F.col(i) + F.col(SUM) - 1).cast("bigint")).drop(p, SUM), i
 
 
 def ranked(f: Frame, by: list[tuple[Column, bool]], dense: bool, name: str) -> DataFrame:
@@ -47,7 +50,7 @@ def ranked(f: Frame, by: list[tuple[Column, bool]], dense: bool, name: str) -> D
     r = hidden("rank")
     df = df.withColumn(r, (F.dense_rank() if dense else F.rank()).over(Window.partitionBy(p).orderBy(*keys)))
     out = df.join(before(df, p, F.max(r) if dense else F.count(F.lit(1))), p)
-    return out.withColumn(name, (F.col(r) + F.col("x")).cast("bigint")).drop(p, r, "x")
+    return out.withColumn(name, (F.col(r) + F.col(SUM)).cast("bigint")).drop(p, r, SUM)
 
 
 def moved(f: Frame, name: str, by: int) -> tuple[DataFrame, str, str]:
@@ -71,18 +74,18 @@ def carried(df: DataFrame, keys: list[tuple[Column, bool]], names: list[str], gr
     df = df.withColumns({n: F.last(wrapped[n], ignorenulls=True).over(w) for n in names})
     end = hidden("end")
     rn = df.withColumn(end, F.row_number().over(Window.partitionBy(p).orderBy(*sort)))
-    lasts = rn.groupBy(p).agg(*(F.max_by(F.col(f"`{n}`"), end).alias(f"_{k}") for k, n in enumerate(names)))
+    lasts = rn.groupBy(p).agg(*(F.max_by(F.col(f"`{n}`"), end).alias(f"{HIDDEN}c{k}") for k, n in enumerate(names)))
     earlier = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    carry = lasts.select(p, *(F.last(f"_{k}", ignorenulls=True).over(earlier).alias(f"_{k}") for k in range(len(names))))
+    carry = lasts.select(p, *(F.last(f"{HIDDEN}c{k}", ignorenulls=True).over(earlier).alias(f"{HIDDEN}c{k}") for k in range(len(names))))
     out = df.join(carry, p)
 
     def value(k: int, n: str) -> Column:
         # groups lie one behind the other: a last value of another group means that this one has none yet
-        last = F.coalesce(F.col(f"`{n}`"), F.col(f"_{k}"))
+        last = F.coalesce(F.col(f"`{n}`"), F.col(f"{HIDDEN}c{k}"))
         same = reduce(Column.__and__, (last[f"g{i}"].eqNullSafe(F.col(f"`{g}`")) for i, g in enumerate(group)), F.lit(True))
         return F.when(last.isNotNull() & same, last["v"])
 
-    return out.withColumns({n: value(k, n) for k, n in enumerate(names)}).drop(p, *(f"_{k}" for k in range(len(names))))
+    return out.withColumns({n: value(k, n) for k, n in enumerate(names)}).drop(p, *(f"{HIDDEN}c{k}" for k in range(len(names))))
 
 
 def has_hot_key(df: DataFrame, key: list[str], most: int) -> bool:

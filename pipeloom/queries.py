@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeloom import Callable_, Context, Dataset, Datasets, Engine, ScopeColumn
+from pipeloom.sources.scratch import scratch
+from pipeloom.streaming.live import prime
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 KEYS: dict[str, tuple[str, ...]] = {
@@ -108,7 +111,7 @@ DOCS: dict[str, tuple[dict[str, Any] | str, str]] = {
     "assert_overall": (pipe("orders", s("assert", scope="overall", expr="count >= 1"), keep("o_orderkey")), "SELECT o_orderkey FROM orders"),
     # reshape
     "flatten_tokens": (pipe("benchmark", s("compute", **{"as": "words"}, expr="split(text, ' ')"), s("flatten", field="words", **{"as": "word"}), s("aggregate", keys=["word"], aggs=[agg("COUNT", "*", "n")])), "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) GROUP BY word"),
-    "flatten_index": (pipe("embeddings", s("flatten", field="embedding", indexAs="i"), s("filter", where={"field": "i", "op": "<", "value": 3}), keep("vec_id", "i", "embedding")), "SELECT vec_id, i - 1 AS i, embedding[i] AS embedding FROM embeddings, (VALUES (1::BIGINT), (2), (3)) t(i)"),
+    "flatten_index": (pipe("embeddings", s("flatten", field="embedding", indexAs="i"), keep("vec_id", "i", "embedding")), "SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS embedding FROM embeddings"),
     "flatten_keep_empty": (ev(s("compute", **{"as": "a"}, expr="CASE WHEN event_id % 3 = 0 THEN array() WHEN event_id % 3 = 1 THEN NULL ELSE array(user_id, event_id) END"), s("flatten", field="a", **{"as": "x"}, indexAs="i", preserveEmpty=True), keep("event_id", "x", "i")), "SELECT event_id, NULL::BIGINT AS x, NULL::BIGINT AS i FROM events WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, CASE i WHEN 0 THEN user_id ELSE event_id END, i FROM events, (VALUES (0::BIGINT), (1)) t(i) WHERE event_id % 3 = 2"),
     "unnest_object": (ev(s("unnestObject", field="props", prefix="p_", drop=True), keep("event_id", "p_k")), "SELECT event_id, (props->>'k')::BIGINT AS p_k FROM events"),
     "nest_records": (ev(s("nest", by=["user_id"], into="events", include=["event_id", "value"]), s("compute", **{"as": "n"}, expr="size(events)"), s("compute", **{"as": "first_id"}, expr="events[0].event_id"), s("compute", **{"as": "ids"}, expr="array_join(transform(events, e -> string(e.event_id)), ',')"), keep("user_id", "n", "first_id", "ids")), "SELECT user_id, count(*)::INTEGER AS n, min(event_id) AS first_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY user_id"),
@@ -145,7 +148,7 @@ DOCS: dict[str, tuple[dict[str, Any] | str, str]] = {
     "timebucket_origin": (ev(s("timeBucket", field="ts", interval="7d", origin="2024-01-01T00:00:00Z", **{"as": "t"}), keep("event_id", "t")), "SELECT event_id, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-01') AS t FROM events"),
     "timebucket_tz": (ev(s("timeBucket", field="ts", interval="1d", tz="America/New_York", **{"as": "t"}), keep("event_id", "t")), "SELECT event_id, (date_trunc('day', ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS t FROM events"),
     "gapfill_zero": (ev(s("timeBucket", field="ts", interval="6h", **{"as": "t"}), s("aggregate", keys=["event_type", "t"], aggs=[agg("COUNT", "*", "n")]), s("gapfill", field="t", interval="6h", method="zero", groupBy=["event_type"])), f"WITH b AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS t, count(*) AS n FROM events GROUP BY ALL), e AS (SELECT event_type, unnest(generate_series(min(t), max(t), {GAP})) AS t FROM b GROUP BY event_type) SELECT event_type, t, coalesce(n, 0) AS n FROM e LEFT JOIN b USING (event_type, t)"),
-    "gapfill_last": (ev(where("user_id", "<=", 40), s("timeBucket", field="ts", interval="1d", **{"as": "t"}), s("aggregate", keys=["user_id", "t"], aggs=[agg("COUNT", "*", "n"), agg("MAX", "event_id", "m")]), s("gapfill", field="t", interval="1d", method="lastValue", groupBy=["user_id"], carry=["n"])), "WITH b AS (SELECT user_id, date_trunc('day', ts) AS t, count(*) AS n, max(event_id) AS m FROM events WHERE user_id <= 40 GROUP BY ALL), e AS (SELECT user_id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS t FROM b GROUP BY user_id) SELECT user_id, t, last_value(n IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n, m FROM e LEFT JOIN b USING (user_id, t)"),
+    "gapfill_last": (ev(s("timeBucket", field="ts", interval="1d", **{"as": "t"}), s("aggregate", keys=["user_id", "t"], aggs=[agg("COUNT", "*", "n"), agg("MAX", "event_id", "m")]), s("gapfill", field="t", interval="1d", method="lastValue", groupBy=["user_id"], carry=["n"])), "WITH b AS (SELECT user_id, date_trunc('day', ts) AS t, count(*) AS n, max(event_id) AS m FROM events GROUP BY ALL), e AS (SELECT user_id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS t FROM b GROUP BY user_id) SELECT user_id, t, last_value(n IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n, m FROM e LEFT JOIN b USING (user_id, t)"),
     # joins
     "lookup_left": (pipe("orders", s("lookup", dataset="customer", on={"left": "o_custkey", "right": "c_custkey"}, where={"field": "c_mktsegment", "op": "==", "value": "BUILDING"}, select=["c_name", "c_acctbal"]), keep("o_orderkey", "c_name", "c_acctbal")), "SELECT o_orderkey, c_name, c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey"),
     "lookup_inner": (pipe("documents", s("lookup", dataset="labels", on={"left": "doc_id", "right": "doc_id"}, mode="inner", **{"as": "label"}), keep("doc_id", "label_quality", "label_toxic")), "SELECT d.doc_id, quality AS label_quality, toxic AS label_toxic FROM documents d JOIN labels USING (doc_id)"),
@@ -185,6 +188,28 @@ DOCS: dict[str, tuple[dict[str, Any] | str, str]] = {
     # text
     "text_pipeline": ('source events | where value > 5 | compute big = `value > 20` | groupBy event_type, big | aggregate count(*) as n, max(user_id) as u | sort n desc', "SELECT event_type, value > 20 AS big, count(*) AS n, max(user_id) AS u FROM events WHERE value > 5 GROUP BY ALL"),
     "text_reshape": ("source lineitem | select l_orderkey as k, l_partkey, l_quantity, l_tax | unpivot l_quantity, l_tax to (what, x) | where what == l_tax | rename x -> tax | drop what", "SELECT l_orderkey AS k, l_partkey, l_tax AS tax FROM lineitem"),
+    "text_page": ("source orders | sort o_totalprice desc | skip 10 | limit 20 | select o_orderkey, o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10"),
+    "text_distinct": ("source events | tap all | distinct by user_id | tap firsts | select event_id, user_id", "SELECT min(event_id) AS event_id, user_id FROM events GROUP BY user_id"),
+    "text_flatten": ("source benchmark | compute words = `split(text, ' ')` | flatten words as word | groupBy word | aggregate count(*) as n", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) GROUP BY word"),
+    "text_calls": ('source events | callFunction text::shout pure args {"kind": "$event_type"} as loud | callApp scorer {"mod": 7} | select event_id, loud, score', "SELECT event_id, upper(event_type) || '!' AS loud, event_id % 7 AS score FROM events"),
+    "text_pivot": ("source nation | compute odd = `if(n_nationkey % 2 = 1, 'odd', 'even')` | pivot odd, max(n_nationkey) for n_regionkey", "SELECT n_regionkey, max(n_nationkey) FILTER (n_nationkey % 2 = 1) AS odd, max(n_nationkey) FILTER (n_nationkey % 2 = 0) AS even FROM nation GROUP BY n_regionkey"),
+    "text_nest": ("source events | nest by user_id into theirs include event_id | compute n = `size(theirs)` | compute last = `theirs[n - 1].event_id` | select user_id, n, last", "SELECT user_id, count(*)::INTEGER AS n, max(event_id) AS last FROM events GROUP BY user_id"),
+    "text_unnest": ("source events | unnestObject props prefix p_ drop | select event_id, p_k", "SELECT event_id, (props->>'k')::BIGINT AS p_k FROM events"),
+    # all rows as one group
+    "compute_formula_sum": (pipe("part", s("compute", **{"as": "share"}, kind="formula", formula="=p_size/SUM(p_size)"), s("compute", **{"as": "far"}, kind="formula", formula="=MAX(p_size-MIN(p_size))"), s("compute", **{"as": "share"}, expr="round(share, 9)"), keep("p_partkey", "share", "far")), "SELECT p_partkey, round(p_size / sum(p_size) OVER (), 9) AS share, (max(p_size) OVER () - min(p_size) OVER ())::INTEGER AS far FROM part"),
+    "sample_ratio": (ev(s("sample", ratio=0.35, seed=3), s("aggregate", aggs=[agg("COUNT", "*", "n"), agg("COUNT_DISTINCT", "event_id", "keys")])), "SELECT floor(count(*) * 0.35::DOUBLE)::BIGINT AS n, floor(count(*) * 0.35::DOUBLE)::BIGINT AS keys FROM events"),
+    "skip_alone": (pipe("orders", s("sort", by=["o_orderdate"]), s("skip", n=200), keep("o_orderkey")), "SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey OFFSET 200"),
+    "window_all_rows": (
+        ev(*(s("window", fn=fn, orderBy=[{"field": "user_id", "dir": "desc"}], **{"as": a}, **more) for fn, a, more in (("row_number", "n", {}), ("rank", "r", {}), ("dense_rank", "d", {}), ("lag", "p", {"field": "value", "default": -1}), ("lead", "q", {"field": "event_id", "offset": 3}), ("first_value", "f", {"field": "event_id"}), ("last_value", "z", {"field": "event_id"}))), keep("event_id", "n", "r", "d", "p", "q", "f", "z")),
+        "SELECT event_id, row_number() OVER w AS n, rank() OVER (ORDER BY user_id DESC) AS r, dense_rank() OVER (ORDER BY user_id DESC) AS d, lag(value, 1, -1) OVER w AS p, lead(event_id, 3) OVER w AS q, first_value(event_id) OVER (ORDER BY user_id DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, last_value(event_id) OVER (ORDER BY user_id DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS z FROM events WINDOW w AS (ORDER BY user_id DESC, event_id)"),
+    "fillnulls_all_rows": (ev(NULLED, s("compute", **{"as": "w"}, expr="v"), s("fillNulls", columns=["v"], method="lastValue", orderBy=["ts"]), s("fillNulls", columns=["w"], method="nextValue", orderBy=["ts"]), keep("event_id", "v", "w")), f"SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v, first_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM ({NULLED_SQL})"),
+    "kmeans_nulls": (pipe("part", s("compute", **{"as": "x"}, expr="CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END"), s("algo", name="kmeans", params={"columns": ["x", "p_retailprice"], "k": 3}), s("aggregate", aggs=[agg("COUNT", "*", "n"), agg("COUNT", "cluster", "placed"), agg("COUNT_DISTINCT", "cluster", "clusters")])), "SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 <> 0) AS placed, 3::BIGINT AS clusters FROM part"),
+    "cast_fail_good": (ev(s("compute", **{"as": "p"}, expr="cast(event_id as string)"), s("cast", casts=[{"field": "p", "to": "int", "onError": "fail"}]), keep("event_id", "p")), "SELECT event_id, event_id AS p FROM events"),
+    "agg_count_distinct": (ev(s("aggregate", keys=["event_type"], aggs=[agg("COUNT_DISTINCT", "user_id", "users")])), "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"),
+    "union_distinct": (ev(keep("user_id"), s("merge", sources=[{"pipe": [where("user_id", "<", 60)]}, {"pipe": [where("user_id", ">", 20)]}]), s("distinct")), "SELECT user_id FROM events WHERE user_id < 60 UNION SELECT user_id FROM events WHERE user_id > 20"),
+    "duration_expr": (ev(s("compute", **{"as": "later"}, expr='ts + duration("1h30m")'), keep("event_id", "later")), "SELECT event_id, ts + INTERVAL 90 MINUTE AS later FROM events"),
+    "gapfill_no_keys": (ev(s("timeBucket", field="ts", interval="10m", **{"as": "t"}), s("aggregate", keys=["t"], aggs=[agg("COUNT", "*", "n"), agg("MAX", "event_id", "m")]), s("gapfill", field="t", interval="10m", method="zero")), "WITH b AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS t, count(*) AS n, max(event_id) AS m FROM events GROUP BY ALL), e AS (SELECT unnest(generate_series(min(t), max(t), INTERVAL 10 MINUTE)) AS t FROM b) SELECT t, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM e LEFT JOIN b USING (t)"),
+    "gapfill_no_keys_last": (ev(s("timeBucket", field="ts", interval="10m", **{"as": "t"}), s("aggregate", keys=["t"], aggs=[agg("COUNT", "*", "n"), agg("MAX", "event_id", "m")]), s("gapfill", field="t", interval="10m", method="lastValue")), "WITH b AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS t, count(*) AS n, max(event_id) AS m FROM events GROUP BY ALL), e AS (SELECT unnest(generate_series(min(t), max(t), INTERVAL 10 MINUTE)) AS t FROM b) SELECT t, last_value(n IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS n, last_value(m IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS m FROM e LEFT JOIN b USING (t)"),
     "flagship": (pipe("lineitem", where("l_shipdate", "<=", "1998-09-02"), s("transform", compute=[{"as": "disc_price", "expr": f"cast(l_extendedprice * (1 - l_discount) as {DEC})"}, {"as": "price", "expr": f"cast(l_extendedprice as {DEC})"}, {"as": "qty", "expr": "cast(l_quantity as bigint)"}]), s("groupBy", keys=["l_returnflag", "l_linestatus"]), s("aggregate", aggs=[agg("SUM", "qty", "sum_qty"), agg("SUM", "price", "sum_base_price"), agg("SUM", "disc_price", "sum_disc_price"), agg("COUNT", "*", "count_order")]), s("transform", compute=[{"as": c, "expr": f"round(double({c}), 2)"} for c in ("sum_base_price", "sum_disc_price")]), s("sort", by=["l_returnflag", "l_linestatus"])), "SELECT l_returnflag, l_linestatus, sum(l_quantity::BIGINT)::BIGINT AS sum_qty, round(sum(l_extendedprice::DECIMAL(18,4))::DOUBLE, 2) AS sum_base_price, round(sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DOUBLE, 2) AS sum_disc_price, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"),
 }
 
@@ -221,10 +246,75 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(context(spark, sf_dir)).execute(pipe("part", s("algo", name="kmeans", params={"columns": ["p_size", "p_retailprice"], "k": 3}), keep("p_partkey", "cluster"))).df
 
 
+HOT = ("fillnulls_last", "fillnulls_next", "asof_backward", "asof_forward", "asof_nearest")
+
+
+def hot(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with every key of over 10 rows spread over many tasks."""
+    return lambda spark, sf_dir: Engine(replace(context(spark, sf_dir), hot_rows=10)).execute(DOCS[name][0]).df
+
+
+def given_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 2 = 0")
+    return Engine(context(spark, sf_dir)).execute({"mode": "pipe", "pipe": [where("o_totalprice", ">", 100), keep("o_orderkey")]}, on=rows).df
+
+
+def joined_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that only the joined dataset has restricts its rows alone."""
+    doc = {"from": "customer", "join": [{"dataset": "orders", "type": "left", "on": {"left": "customer.c_custkey", "right": "orders.o_custkey"}}], "select": ["c_custkey", "o_orderkey"]}
+    return Engine(context(spark, sf_dir)).execute(doc, scope=[ScopeColumn("o_orderstatus", "F")]).df
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = Engine(context(spark, sf_dir)).explain("source orders | where o_totalprice > 100 | sort o_orderkey | limit 3")
+    return spark.createDataFrame([(i, op, "PushedFilters" in plan["plan"]) for i, op in enumerate(plan["steps"])], "place long, op string, pushed boolean")
+
+
+def through_files(kind: str, **read: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The orders, written to files of that kind in the shared folder and read as a dataset."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+        path = scratch(orders, f"orders-{kind}", kind, header="true") if kind == "csv" else scratch(orders, f"orders-{kind}", kind)
+        d = Datasets().files("orders", path, kind, dict(read), schema=orders.schema, key=("o_orderkey",))
+        return Engine(Context(spark, d)).execute("source orders | where o_totalprice > 1000").df
+
+    return run
+
+
+def own_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = context(spark, sf_dir)
+    ctx.add_reduce("um", "max")
+    ctx.add_reduce("spread", "1 + count")
+    doc = pipe("part", s("sheet", formulas=[{"as": "t", "reduce": "sum(p_size)"}, {"as": "m", "reduce": "um(p_size)"}, {"as": "c", "reduce": "spread(p_size)"}]), keep("p_partkey", "t", "m", "c"))
+    return Engine(ctx).execute(doc).df
+
+
+def sheet_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = ev(s("sheet", onError="null", formulas=[{"as": "r", "expr": "1000 div (user_id % 3)"}, {"as": "w", "expr": "r + 1"}]))
+    got = Engine(context(spark, sf_dir)).execute(doc).errors()
+    return spark.createDataFrame([(k, n, got["total"], len(got["samples"])) for k, n in got["by_formula"].items()], "formula string, n long, total long, samples long")
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The app scores once; the rest runs again over the rows kept."""
+    doc = ev(where("value", ">", 5), s("callApp", appId="scorer", payload={"mod": 4}), s("filter", where={"field": "score", "op": "<", "value": 3}), s("aggregate", keys=["score"], aggs=[agg("COUNT", "*", "n"), agg("MAX", "event_id", "m")]))
+    return prime(Engine(context(spark, sf_dir)), doc).replay().df
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: run(doc) for name, (doc, _) in DOCS.items()} | {
-    "classic_scope": scoped, "expand_meta": expanded, "sample_random": sampled, "algo_kmeans": clustered,
+    "classic_scope": scoped, "expand_meta": expanded, "sample_random": sampled, "algo_kmeans": clustered, "given_rows": given_rows, "classic_scope_join": joined_scope, "explain_steps": explained, "sheet_own_reduce": own_reduce,
+    "sheet_errors": sheet_errors, "replay_from_stage": replayed, "source_csv": through_files("csv", header="true"), "source_json": through_files("json"), "source_orc": through_files("orc"), **{f"{n}_hot": hot(n) for n in HOT},
 }
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in DOCS.items()} | {
     "classic_scope": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'",
+    "given_rows": "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_totalprice > 100",
+    "classic_scope_join": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON c_custkey = o_custkey",
+    "explain_steps": "SELECT * FROM (VALUES (0::BIGINT, 'filter', true), (1, 'sort', true), (2, 'limit', true)) t(place, op, pushed)",
+    "sheet_own_reduce": "SELECT p_partkey, (sum(p_size) OVER ())::BIGINT AS t, max(p_size) OVER () AS m, 1 + count(p_size) OVER () AS c FROM part",
+    "sheet_errors": "SELECT f AS formula, CASE f WHEN 'r' THEN n ELSE 0 END AS n, n AS total, least(n, 100) AS samples FROM (SELECT count(*) AS n FROM events WHERE user_id % 3 = 0), (VALUES ('r'), ('w')) t(f)",
+    "replay_from_stage": "SELECT event_id % 4 AS score, count(*) AS n, max(event_id) AS m FROM events WHERE value > 5 AND event_id % 4 < 3 GROUP BY 1",
+    **dict.fromkeys(("source_csv", "source_json", "source_orc"), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 1000"),
+    **{f"{n}_hot": DOCS[n][1] for n in HOT},
     "expand_meta": "SELECT event_id, c_name AS author FROM events LEFT JOIN customer ON user_id = c_custkey",
 }

@@ -23,15 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and no executor's loss takes it away. Removed as the driver ends."""
+def scratch(df: DataFrame, what: str, format: str = "parquet", **options: str) -> str:
+    """Writes df to files in the shared folder, which are removed as the driver ends, and gives their path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.format(format).options(**options).save(path)
     if not _made:
         atexit.register(_clear)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage, and no executor's loss takes it away."""
+    return df.sparkSession.read.schema(df.schema).parquet(scratch(df, what, compression="zstd"))
 
 
 def _clear() -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,10 @@ from pipeloom.functions.expr import interval_us
 from pipeloom.operators.registry import QueryError
 from pipeloom.plans import parse
 from pipeloom.plans.catalog import CATALOG
-from pipeloom.plans.engine import Engine
+from pipeloom.plans.engine import Engine, Result
+from pipeloom.plans.frame import Frame
+from pipeloom.plans.pipe import run_stages
+from pipeloom.sources.scratch import written
 
 #: Operators that Spark runs on an unbounded stream as they are.
 ROW_WISE = frozenset("filter project rename drop compute transform cast dropNulls flatten unpivot tap callFunction lookup".split())
@@ -36,6 +40,39 @@ def split_live(stages: list[dict[str, Any]]) -> tuple[list[dict[str, Any]], list
     return stages[: last + 1], stages[last + 1 :]
 
 
+@dataclass
+class Primed:
+    """A pipe whose stages with side effects have run once: their rows are a table, from which the rest runs again. Named stages
+    of the first part that the rest reads are kept too."""
+
+    engine: Engine
+    doc: dict[str, Any]
+    at: int
+    frame: Frame
+    named: dict[str, Frame]
+
+    def replay(self) -> Result:
+        """The stages from `at` on, over the kept rows. Nothing before them runs, nor does any with side effects."""
+        stages = self.doc["pipe"][self.at :]
+        ctx = self.engine.running()
+        f = run_stages(self.frame, stages, ctx, named=dict(self.named))
+        return Result(f, self.doc.get("from") or "", stages=stages, observed=[None] * (len(stages) + 1), taps=ctx.taps, sheets=ctx.sheets)
+
+
+def prime(engine: Engine, doc: str | dict[str, Any], parameters: dict[str, Any] | None = None, on: DataFrame | None = None) -> Primed:
+    """Runs a pipe up to its last stage with side effects and writes the rows there, in the shared folder."""
+    q = engine.bound(doc, parameters, on)
+    head, tail = split_live(q.get("pipe") or [])
+    wanted = {s["from"] for s in tail if s.get("from")} - {s.get("id") for s in tail}
+    named: dict[str, Frame] = {}
+    ctx = engine.running()
+    f = run_stages(engine.start(q, ctx, on), head, ctx, lambda i, s, g: named.update({s["id"]: g} if s.get("id") in wanted else {}))
+    keep = lambda g: g.with_df(written(g.df, "primed"))
+    last = next((s.get("id") for s in reversed(head)), None)
+    kept = keep(f)
+    return Primed(engine, q, len(head), kept, {n: kept if n == last else keep(g) for n, g in named.items()})
+
+
 def stream(engine: Engine, doc: str | dict[str, Any], rows: DataFrame, time: str, watermark: str, window: str, slide: str | None = None) -> DataFrame:
     """A pipe on a streaming DataFrame: row-wise stages, then at most one aggregate, by event-time windows of `window` (sliding by
     `slide`), with rows later than `watermark` left out. Adds window_start and window_end."""
