@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pipeloom.sources.scratch import shared_dir, written
 
-__all__ = ["id_field", "labelled_sample", "salts", "shared_dir", "small_batches", "table", "texts", "written"]
+__all__ = ["free_name", "id_field", "labelled_sample", "salts", "shared_dir", "small_batches", "table", "texts", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return d.join(F.broadcast(y), "_id").select(F.col("_id").alias(id_col), "text", "y")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many more strokes before it as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def salts(n: int, per: int) -> int:
     """Groups of about `per` rows that n rows are dealt to."""
     return max(1, math.ceil(n / per))

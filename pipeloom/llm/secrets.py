@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pipeloom.llm.common import free_name
+
 #: Kind, pattern, group that is the secret.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of 18 or more, of the first AKIA on; shorter runs can't match from a later start either.
@@ -152,13 +154,7 @@ def found_spans(text: Column) -> tuple[Column, Column]:
 
 def scanned(df: DataFrame, text_col: str) -> tuple[DataFrame, str, str, str]:
     """df with the text, the base spans and all spans, by start and then kind, and the names of these columns."""
-    taken, names = {c.lower() for c in df.columns}, []
-    for n in ("text", "base", "spans", "runs"):
-        name = f"_{n}"
-        while name in taken:
-            name = "_" + name
-        names.append(name)
-    text, base, spans, runs = names
+    text, base, spans, runs = (free_name(df, f"_{n}") for n in ("text", "base", "spans", "runs"))
     found, candidates = found_spans(F.col(text))
     more = F.when(F.size(runs) > 0, _entropy_spans(F.col(runs))).otherwise(F.array().cast(SPANS))
     out = (

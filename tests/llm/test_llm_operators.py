@@ -137,6 +137,18 @@ def test_token_counts(spark):
     assert token_counts.token_counts(docs(spark, ["x"]).limit(0), path).count() == 0
 
 
+def test_token_counts_around_space_marks():
+    """Marks beside spaces belong to pieces that reach over the spaces: no cut there."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r, bits = np.random.default_rng(11), ["a", "b", "ab ", " ", " ", "\u2581", "\u2581 ", "\n", "<s>", "\u3000", "\u00e9 ", "\u0301"]
+    texts = ["".join(bits[i] for i in r.integers(0, len(bits), r.integers(1, 14))) for _ in range(20_000)] + ["abcd" * 8192 + "\u2581 \u2581 tail"]
+    want = [len(x) for x in sp.encode(texts)]
+    assert token_counts.lengths(texts, path, 2000, 3) == want and token_counts.lengths(texts[-1:], path, 1 << 18, 1 << 15) == want[-1:]
+
+
 # decontamination
 def distance_in(item, text):
     """Least edits between the item and any stretch of the text."""
@@ -149,12 +161,34 @@ def distance_in(item, text):
     return min(row)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def test_the_nearest_text_of_an_item_counts(spark):
+    """Several texts under one item_id, of which one matches exactly and others nearly, whatever their order."""
+    item = prose(40, 30)
+    near = [item.replace(item.split()[3], "qqq", 1), item, item[:-1] + "q", None]
+    bench = spark.createDataFrame([(5, t) for t in near] + [(None, item)], "item_id long, text string")
+    got = decontaminate.leaks(docs(spark, [f"{prose(1)} {item} {prose(2)}"] * 2), bench).collect()
+    start = len(prose(1))
+    assert [(r["item_id"], r["edits"], r["start"], r["end"]) for r in got] == [(5, 0, start + 1, start + 3 + len(item))] * 2
+
+
 def test_myers_and_pigeonhole():
     r = np.random.default_rng(3)
     for _ in range(60):
         item, text = "".join(r.choice(list("abc"), 12)), "".join(r.choice(list("abc"), 40))
         got = decontaminate.best_match(decontaminate.masks(item), len(item), text, 12)
         assert got[0] == distance_in(item, text)
+        n = decontaminate.match_length(decontaminate.masks(item[::-1]), len(item), text[: got[1]], got[0])
+        assert distance(item, text[got[1] - n : got[1]]) == got[0] and all(distance(item, text[got[1] - k : got[1]]) > got[0] for k in range(n))
 
 
 def test_leaks(spark):
@@ -168,7 +202,11 @@ def test_leaks(spark):
         return "".join(t)
 
     texts = [prose(1) + " " + items[0] + " " + prose(2), prose(3) + ". " + edited(items[1], 4, 1) + "! " + prose(4), items[2][: len(items[2]) // 2], prose(5), None, "", items[3].upper().replace(" ", "\n"), prose(6) + edited(items[4], 60, 2), "A short, one!"]
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, texts), bench, block=4).collect()}
+    found = decontaminate.leaks(docs(spark, texts), bench, block_bytes=400).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    for r in found:
+        a, b = f" {decontaminate.normal(items[r['item_id']])} ", f" {decontaminate.normal(texts[r['doc_id']])} "
+        assert r["edits"] == distance_in(a, b) == distance(a, b[r["start"] : r["end"]])
     want = set()
     for i, t in enumerate(texts):
         for j, x in enumerate(items):
@@ -177,7 +215,7 @@ def test_leaks(spark):
                 if distance_in(a, b) <= decontaminate.budget(len(a), 0.08):
                     want.add((i, j))
     assert got == want and {(0, 0), (1, 1), (6, 3), (8, 10)} <= got
-    kept = decontaminate.without_leaks(docs(spark, texts), bench, block=4)
+    kept = decontaminate.without_leaks(docs(spark, texts), bench, block_bytes=400)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(9)) - {i for i, _ in got}) and kept.columns[2:] == ["lang", "n_tokens", "spans"]
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
@@ -287,9 +325,45 @@ def test_long_url_tokens_stay_apart(spark):
 
 
 def test_inverted_index():
-    rules = [(("a", "b"), 0.9), (("c",), 0.8)]
+    rules = [(frozenset("ad"), frozenset("b")), (frozenset("c"),)]
     index, sizes = url_rules.inverted(rules), [2, 1]
-    assert [url_rules.fired(t, index, sizes) for t in (["a"], ["a", "b"], ["x", "c"], [])] == [False, True, True, False]
+    assert [url_rules.fired(t, index, sizes) for t in (["a"], ["a", "d"], ["a", "b"], ["d", "x", "b"], ["x", "c"], [])] == [False, False, True, True, True, False]
+
+
+def test_mined_rules_against_all_combinations(spark):
+    """Every combination of tokens, counted one by one; among them pairs that are bad only together."""
+    import itertools
+
+    r = np.random.default_rng(31)
+    urls, bad = [], []
+    for i in range(400):
+        segs = [s for s in ("aa", "bb", "cc", "dd") if r.random() < 0.45]
+        urls.append("http://" + ("x.org/" if i % 3 else "y.net/") + "/".join(segs))
+        bad.append({"aa", "bb"} <= set(segs) and r.random() < 0.9 or r.random() < 0.1)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    lab = labels(spark, [(i, int(not b), None) for i, b in enumerate(bad)])
+    toks = {x["page_id"]: frozenset(x["tokens"]) for x in url_rules.tokenised(pages, "page_id", "url").collect()}
+    every, base, fires = sorted(set().union(*toks.values())), sum(bad) / 400, []
+    for k in range(1, 6):
+        for have in itertools.combinations(every, k):
+            of = [i for i in toks if toks[i].issuperset(have)]
+            n_bad = sum(bad[i] for i in of)
+            if n_bad >= 0.04 * 400 and n_bad >= 0.6 * len(of) and n_bad / len(of) > 1.2 * base:
+                fires.append(frozenset(have))
+    got = {x["page_id"]: x["mined"] for x in url_rules.url_filter(pages, lab, [], min_support=0.04).collect()}
+    assert got == {i: any(h <= t for h in fires) for i, t in toks.items()}
+    assert any(got.values()) and not all(got.values()) and min(map(len, fires)) == 2
+
+
+def test_urls_with_many_segments_in_common(spark):
+    """25 segments that always stand together would make 2 ** 25 itemsets."""
+    deep = "/".join("s" + chr(97 + i) for i in range(25))
+    pages = spark.createDataFrame([(i, f"http://h.org/{deep}/{'buy' if i % 2 else 'read'}/{i}" if i < 40 else f"http://g.org/{i}") for i in range(80)], "page_id long, url string")
+    lab = labels(spark, [(i, int(i % 2 == 0 or i >= 40), None) for i in range(80)])
+    got = {x["page_id"]: x["mined"] for x in url_rules.url_filter(pages, lab, [], min_support=0.02).collect()}
+    assert got == {i: i < 40 and i % 2 == 1 for i in range(80)}
+    with pytest.raises(ValueError, match="raise min_support"):
+        url_rules.url_filter(pages, lab, [], min_support=0.02, max_rules=1)
 
 
 # chats
@@ -419,6 +493,34 @@ def test_base_counts_and_viterbi():
         assert abs(score(chain.decode(feats)) - score(best)) < 1e-9
 
 
+def test_fitting_against_all_labellings():
+    """The same ascent with expectations taken over every labelling of every sequence; lengths that share a padded size."""
+    import itertools
+
+    r, n = np.random.default_rng(15), quality_crf.N_FEATURES
+    texts = [([int(x) for x in r.integers(0, 1 << n, k)], int(y)) for k, y in zip((1, 2, 3, 4, 5, 6, 7, 3), (0, 1, 0, 1, 0, 1, 1, 0), strict=True)]
+    parts = [w for f, y in texts for w in quality_crf.windows(f, y, 4)]
+    assert [len(f) for f, _, _ in parts] == [1, 2, 3, 4, 4, 1, 4, 2, 4, 3, 3] and [sum(f, []) for f in [[f for f, _, _ in parts]]] == [[x for f, _ in texts for x in f]]
+    chain = quality_crf.Chain()
+    chain.fit(parts, rounds=5)
+    w, t, gw2, gt2 = np.zeros(n), np.zeros((2, 2)), np.full(n, 1e-8), np.full((2, 2), 1e-8)
+    total = [sum(p for _, y, p in parts if y == v) for v in (0, 1)]
+    for _ in range(5):
+        gw, gt = -1e-3 * w, -1e-3 * t
+        for f, y, part in parts:
+            x = np.array([[v >> i & 1 for i in range(n)] for v in f], float)
+            ways = [np.array(z) for z in itertools.product((0, 1), repeat=len(f))]
+            p = np.array([np.exp((z[:, None] * x).sum(0) @ w + sum(t[a, b] for a, b in zip(z, z[1:], strict=False))) for z in ways])
+            for z, share in [*zip(ways, -p / p.sum(), strict=True), (np.full(len(f), y), 1.0)]:
+                k = share * part / total[y] / 2 / len(f)
+                gw += k * (z[:, None] * x).sum(0)
+                for a, b in zip(z, z[1:], strict=False):
+                    gt[a, b] += k
+        gw2, gt2 = gw2 + gw * gw, gt2 + gt * gt
+        w, t = w + 0.5 * gw / np.sqrt(gw2), t + 0.5 * gt / np.sqrt(gt2)
+    assert np.allclose(chain.w, w, atol=1e-6) and np.allclose(chain.t, np.clip(t, -2, 2), atol=1e-6)
+
+
 def test_quality(spark):
     good = [prose(i, 60).capitalize() + ".\n" + prose(i + 500, 80).capitalize() + "." for i in range(60)]
     bad = [" | ".join(prose(i + 900, 40).upper().split()) + "\n" + "$$$ ### " * 4 + prose(i, 8) for i in range(60)]
@@ -432,10 +534,11 @@ def test_quality(spark):
 
 # near duplicates
 def brute(texts, least=0.8):
+    """Classes by the similarity of all pairs: sums of lesser over sums of greater counts of runs of five words."""
     sets = []
     for t in texts:
         w = re.findall(r"\w+", (t or "").lower())
-        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+        sets.append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
     top = list(range(len(texts)))
 
     def find(i):
@@ -445,7 +548,8 @@ def brute(texts, least=0.8):
 
     for i in range(len(sets)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            m, n = sets[i].total(), sets[j].total()
+            if min(m, n) >= least * max(m, n) and (sets[i] & sets[j]).total() >= least * (sets[i] | sets[j]).total():
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
     return [find(i) for i in range(len(texts))]
@@ -462,6 +566,8 @@ def near_copies():
         w = prose(seed).split()
         w[50] = "changed"
         texts.append(" ".join(w).upper())
+    line = prose(500, 30)  # the same runs, but not as often
+    texts += ["\n".join([line] * k) for k in (1, 2, 8, 9)]
     return texts
 
 
@@ -472,7 +578,7 @@ def test_near_duplicates(spark):
     assert [got[i]["class_id"] for i in range(len(texts))] == want
     sizes = collections.Counter(want)
     assert all(got[i]["class_size"] == sizes[want[i]] for i in range(len(texts)))
-    kept = near_dup.one_of_each(docs(spark, texts))
+    kept = near_dup.one_of_each(docs(spark, texts).selectExpr("*", "1 AS _id")).drop("_id")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want)) and kept.columns == ["doc_id", "text", "lang", "n_tokens", "spans"]
     assert near_dup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
@@ -491,6 +597,23 @@ def test_near_duplicates_within_a_large_family(spark):
     assert got == {i: (i // 2 * 2, 2, 1) if i < 400 else (i, 1, 0) for i in range(1000)}
 
 
+def test_near_duplicates_reach_their_recall(spark):
+    """Pairs just above and well above the threshold, by brute force over all pairs: the share found, before the exact join."""
+    r = np.random.default_rng(21)
+    texts = []
+    for i in range(400):
+        w = prose(30_000 + i, 150).split()
+        texts.append(" ".join(w))
+        for j in r.choice(150, r.integers(1, 4), replace=False):
+            w[j] = f"other{j}"
+        texts.append(" ".join(w))
+    want = brute(texts)
+    linked = [i for i in range(0, 800, 2) if want[i] == want[i + 1]]
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    assert len(linked) > 250 and sum(got[i] == got[i + 1] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == got[i + 1] for i in range(0, 800, 2) if i in linked) and not any(got[i] == got[i + 1] for i in range(0, 800, 2) if i not in linked)
+
+
 def test_near_duplicates_with_odd_identifiers(spark):
     texts = [prose(1), prose(1), prose(2), prose(2), prose(4)]
     got = near_dup.near_duplicates(docs(spark, texts, [None, 5, 7, 7, None])).collect()
@@ -543,18 +666,44 @@ def test_main_text():
     assert html_main.main_text("", w) == "" and html_main.main_text("<p", w) == ""
     html_main.main_text("<div>" * 5000 + "x", w)
     right = total = 0
-    for page in html_main.labelled_pages(60)[48:]:  # pages that the weights weren't fitted to
+    for page in html_main.labelled_pages(108)[72:]:  # pages that the weights weren't fitted to
         nodes, blocks = html_main.parse(page)
         for x in nodes:
             x.gold = (nodes[x.parent].gold if x.parent >= 0 else 1) if x.gold is None else x.gold
         html_main.describe(nodes, blocks)
         at, _ = html_main.marginals(nodes, *w)
-        for k, t in blocks:
+        for k, t in (part for parts in blocks for part in parts):
             total += len(t)
             right += len(t) * ((at[k] > 0.5) == bool(nodes[k].gold))
     assert right > 0.97 * total
 
 
+LEAD = "The council met on Monday evening to talk about the new bridge over the river. It will cost more than planned."
+REST = "Several members asked for another estimate, and the vote was put off until the next meeting in spring."
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Sport</a></li></ul>"
+STORY = f"<h1>Bridge vote put off</h1><p>{LEAD}</p><p>{REST}</p>"
+WHOLE = f"Bridge vote put off {LEAD} {REST}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<form method=post action=/p><nav>{MENU}</nav><article>{STORY}</article><footer>All rights reserved.</footer></form>",
+    f"<form id=aspnetForm><div class=menu>{MENU}</div><div class=content>{STORY}</div><div>Search <input name=q><button>Go</button></div></form>",
+    f"<nav>{MENU}</nav><article><p class=x don't>{LEAD}</p><p title='a > b'>{REST}</p></article>",
+    f"<article><h1>Bridge vote put off</h1><p>{LEAD}<p>{REST}</article><p>",
+    f"<nav>{MENU}</nav><article>{STORY.replace('</h1>', '<span style="display:none">secret words</span></h1>').replace('Monday', 'Mon<span hidden>x</span>day')}</article>",
+    f"<article>{STORY.replace('</h1>', ' <span class="share">Share this</span></h1>')}</article>",
+    f"<table><tr><td colspan=2>{MENU}</td></tr><tr><td>{MENU}</td><td>{STORY}</td></tr></table>",
+    f"<html><head><title>Bridge</title><body><article>{STORY}</article>",
+    f"<div class=kopf>{MENU}</div><div class=inhalt>{STORY}</div><div class=fuss><a href=/x>Impressum</a></div>",
+    f"<main><article>{STORY}</article><aside><h3>Related</h3><article><h4><a href=/y>Other news of the day</a></h4></article></aside><section id=comments><article class=comment><p>I don't agree with this at all, to be honest.</p></article></section></main>",
+])
+def test_layouts(page):
+    """A page in one form, a stray quote, hidden and marked words inside a line, open elements, layout tables, an open head, names
+    in another language, articles among the clutter."""
+    got = html_main.main_text(page, html_main.weights())
+    assert got == (WHOLE if "Bridge vote" in page else f"{LEAD} {REST}")
+
+
 def test_messages_give_exact_marginals():
     import itertools
 
