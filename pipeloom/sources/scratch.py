@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(scratch(df, what, compression="zstd"))
 
 
-def _clear() -> None:
-    while _made:
-        spark, path = _made.pop(0)
+@contextmanager
+def freed() -> Iterator[None]:
+    """Removes at its end the tables that were written inside, so that a long session doesn't gather them. Results that read them
+    must have been written or collected by then."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        _clear(start)
+
+
+def _clear(start: int = 0) -> None:
+    while len(_made) > start:
+        spark, path = _made.pop()
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

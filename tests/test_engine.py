@@ -204,3 +204,16 @@ def test_live(spark, engine, tmp_path):
     assert seen == [{"k": "a", "n": 9}]
     with pytest.raises(QueryError):
         stream(engine, {"pipe": [{"op": "sort", "by": ["id"]}]}, rows, "ts", "1m", "5m")
+
+
+def test_intermediate_tables_are_freed(spark):
+    import os
+
+    from pipeloom.sources.scratch import freed, shared_dir, written
+
+    listed = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    outside = written(spark.range(3), "outside")
+    before = listed()
+    with freed():
+        assert written(spark.range(5), "inside").count() == 5 and len(listed()) == len(before) + 1
+    assert listed() == before and outside.count() == 3
