@@ -95,7 +95,8 @@ def asof_join(f: Frame, cfg: dict, ctx) -> Frame:
     both = both.withColumn("_b", F.col(rec)).withColumn("_a", F.col(rec)).drop(rec)
     # side 1, the left, comes after right rows of its time in either direction
     keyed = bool(cfg.get("leftKey"))
-    native = f.df.isStreaming or keyed and not has_hot_key(both, [key], ctx.hot_rows)
+    # counted on the bare keys, before anything is grouped or joined
+    native = f.df.isStreaming or keyed and not has_hot_key(left.select(key).unionByName(right.df.select(r_key.alias(key))), [key], ctx.hot_rows)
     for c, up in (("_b", True), ("_a", False)):
         if direction == ("forward" if up else "backward"):
             continue

@@ -206,6 +206,7 @@ DOCS: dict[str, tuple[dict[str, Any] | str, str]] = {
     "kmeans_nulls": (pipe("part", s("compute", **{"as": "x"}, expr="CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END"), s("algo", name="kmeans", params={"columns": ["x", "p_retailprice"], "k": 3}), s("aggregate", aggs=[agg("COUNT", "*", "n"), agg("COUNT", "cluster", "placed"), agg("COUNT_DISTINCT", "cluster", "clusters")])), "SELECT count(*) AS n, count(*) FILTER (p_partkey % 7 <> 0) AS placed, 3::BIGINT AS clusters FROM part"),
     "cast_fail_good": (ev(s("compute", **{"as": "p"}, expr="cast(event_id as string)"), s("cast", casts=[{"field": "p", "to": "int", "onError": "fail"}]), keep("event_id", "p")), "SELECT event_id, event_id AS p FROM events"),
     "agg_count_distinct": (ev(s("aggregate", keys=["event_type"], aggs=[agg("COUNT_DISTINCT", "user_id", "users")])), "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type"),
+    "agg_approx_distinct": (ev(s("aggregate", keys=["event_type"], aggs=[agg("APPROX_COUNT_DISTINCT", "user_id", "about"), agg("COUNT_DISTINCT", "user_id", "users")]), s("compute", **{"as": "near"}, expr="abs(about - users) <= 0.2 * users"), keep("event_type", "users", "near")), "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type"),
     "union_distinct": (ev(keep("user_id"), s("merge", sources=[{"pipe": [where("user_id", "<", 60)]}, {"pipe": [where("user_id", ">", 20)]}]), s("distinct")), "SELECT user_id FROM events WHERE user_id < 60 UNION SELECT user_id FROM events WHERE user_id > 20"),
     "duration_expr": (ev(s("compute", **{"as": "later"}, expr='ts + duration("1h30m")'), keep("event_id", "later")), "SELECT event_id, ts + INTERVAL 90 MINUTE AS later FROM events"),
     "gapfill_no_keys": (ev(s("timeBucket", field="ts", interval="10m", **{"as": "t"}), s("aggregate", keys=["t"], aggs=[agg("COUNT", "*", "n"), agg("MAX", "event_id", "m")]), s("gapfill", field="t", interval="10m", method="zero")), "WITH b AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS t, count(*) AS n, max(event_id) AS m FROM events GROUP BY ALL), e AS (SELECT unnest(generate_series(min(t), max(t), INTERVAL 10 MINUTE)) AS t FROM b) SELECT t, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM e LEFT JOIN b USING (t)"),
@@ -282,6 +283,15 @@ def through_files(kind: str, **read: str) -> Callable[[SparkSession, str], DataF
     return run
 
 
+def from_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("pipeloom_orders_view")
+    return Engine(Context(spark, Datasets().table("orders", "pipeloom_orders_view", key=("o_orderkey",)))).execute("source orders | where o_totalprice > 1000 | select o_orderkey").df
+
+
+def as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(context(spark, sf_dir)).execute("source orders | select o_orderkey, o_orderstatus | limit 50").to_json()
+
+
 def own_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = context(spark, sf_dir)
     ctx.add_reduce("um", "max")
@@ -304,7 +314,7 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: run(doc) for name, (doc, _) in DOCS.items()} | {
     "classic_scope": scoped, "expand_meta": expanded, "sample_random": sampled, "algo_kmeans": clustered, "given_rows": given_rows, "classic_scope_join": joined_scope, "explain_steps": explained, "sheet_own_reduce": own_reduce,
-    "sheet_errors": sheet_errors, "replay_from_stage": replayed, "source_csv": through_files("csv", header="true"), "source_json": through_files("json"), "source_orc": through_files("orc"), **{f"{n}_hot": hot(n) for n in HOT},
+    "sheet_errors": sheet_errors, "replay_from_stage": replayed, "source_csv": through_files("csv", header="true"), "source_json": through_files("json"), "source_orc": through_files("orc"), "source_table": from_view, "result_json": as_json, **{f"{n}_hot": hot(n) for n in HOT},
 }
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in DOCS.items()} | {
     "classic_scope": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'",
@@ -315,6 +325,8 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in DOCS.items()} | {
     "sheet_errors": "SELECT f AS formula, CASE f WHEN 'r' THEN n ELSE 0 END AS n, n AS total, least(n, 100) AS samples FROM (SELECT count(*) AS n FROM events WHERE user_id % 3 = 0), (VALUES ('r'), ('w')) t(f)",
     "replay_from_stage": "SELECT event_id % 4 AS score, count(*) AS n, max(event_id) AS m FROM events WHERE value > 5 AND event_id % 4 < 3 GROUP BY 1",
     **dict.fromkeys(("source_csv", "source_json", "source_orc"), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 1000"),
+    "source_table": "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000",
+    "result_json": "SELECT to_json({o_orderkey: o_orderkey, o_orderstatus: o_orderstatus})::VARCHAR AS value FROM orders ORDER BY o_orderkey LIMIT 50",
     **{f"{n}_hot": DOCS[n][1] for n in HOT},
     "expand_meta": "SELECT event_id, c_name AS author FROM events LEFT JOIN customer ON user_id = c_custkey",
 }

@@ -154,6 +154,14 @@ def test_sources_of_other_kinds(spark):
         e.execute("source unheard_of")
 
 
+def test_sources_of_databases(spark):
+    """A table in an embedded database, read in several parts."""
+    url, how = "jdbc:derby:memory:pipeloom;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(40).selectExpr("id", "id % 7 AS k").write.jdbc(url, "kept", mode="overwrite", properties=how)
+    e = Engine(Context(spark, Datasets().jdbc("kept", url, "kept", how, partition=("id", 0, 40, 3), key=("id",))))
+    assert e.execute("source kept | where k == 3 | select id").rows == [{"id": i} for i in range(3, 40, 7)]
+
+
 APP, PURE = {"op": "callApp", "appId": "ledger"}, {"op": "callFunction", "name": "tidy", "pure": True}
 
 
