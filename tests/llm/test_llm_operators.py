@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -614,6 +615,13 @@ def test_near_duplicates_reach_their_recall(spark):
     assert all(got[i] == got[i + 1] for i in range(0, 800, 2) if i in linked) and not any(got[i] == got[i + 1] for i in range(0, 800, 2) if i not in linked)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_near_duplicates_of_a_given_table(spark):
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    assert got == {i: rows[k][0] for (i, _), k in zip(rows, brute([t for _, t in rows]), strict=True)}
+
+
 def test_near_duplicates_with_odd_identifiers(spark):
     texts = [prose(1), prose(1), prose(2), prose(2), prose(4)]
     got = near_dup.near_duplicates(docs(spark, texts, [None, 5, 7, 7, None])).collect()
